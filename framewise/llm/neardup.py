@@ -8,10 +8,11 @@ with probability equal to their weighted Jaccard similarity. Points are generate
 process can still reach a slot, so heavy weights cost a logarithm.
 
 128 slots make 32 bands of 4: a pair at 0.8 shares none of them with probability 5e-8. Equal texts (equal word sequences)
-are one member throughout, so copies cost nothing. In each bucket the members are verified against one centre,
-linked into components, and only pairs of *different* components of a bucket are looked at further: new centres first
-while there are many, then every remaining pair that the triangle inequality of the Jaccard distance doesn't rule out. No
-links are lost by that, and a group of copies never emits all its pairs. Centres with many members are spread by Spark's skew join.
+are one member throughout, so copies cost nothing. In each bucket all members are first compared with one centre, which links groups of copies by
+as many pairs as they have members. Only buckets that still hold different linked sets are looked at further: their members go in blocks of ``BLOCK`` with a
+sketch of 128 bytes each, every two blocks of a bucket meet once, and pairs of different sets whose sketches leave room for the similarity
+(an estimate ``MARGIN`` under it; missed with probability 1e-5 at 0.8, less above) are verified: first the best few of each member, and after linking
+these, all that are left. So no group emits all its pairs, and no cap is set. Centres with many members are spread by Spark's skew join.
 
 The verified overlap is sum(min) / sum(max) of the two multisets, of 32-bit shingle hashes.
 
@@ -34,8 +35,9 @@ from .common import Words, durable, groups, mix, small_batches, table, utf8
 WORDS, SIMILAR, SLOTS, ROWS = 5, 0.8, 128, 4
 #: Ids (8 bytes each) that may be broadcast to pick documents for verification; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: New centres are tried while there are more pairs of different components than this many for each member, at most so often.
-PAIRS_PER_MEMBER, CENTRE_ROUNDS = 4, 4
+#: Documents of a block of a bucket; partners of a document of each block in the first of two looks; how far an estimate
+#: from a sketch may lie under the similarity it is to be verified at (4.3 standard deviations).
+BLOCK, BEST, MARGIN = 128, 2, 0.15
 _STEP, _BAND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
@@ -109,12 +111,14 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = utf8(batch.column(1))
-        keys, bands = [], []
+        keys, bands, sketches = [], [], []
         for lo, hi in groups(off):
             part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             w = Words(part, o)
             d, h = shingles(w)
-            b = band_keys(bag_minhash(d, h, hi - lo))
+            sig = bag_minhash(d, h, hi - lo)
+            b, short = band_keys(sig), (sig >> np.uint64(8)).astype(np.uint8)
+            sketches += [x.tobytes() for x in short]
             for i in range(hi - lo):
                 a, z = w.first[i], w.first[i + 1]
                 data = w.hash[a:z].tobytes() if z > a else b"\0" + part[o[i] : o[i + 1]].tobytes()
@@ -122,7 +126,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(b[i] if z > a else b[i][:0])
         sizes = np.cumsum([0, *map(len, bands)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], names=["doc_id", "key", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "key", "bands", "sketch"])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,23 +162,55 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
+def _sketches(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), SLOTS)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity estimated from sketches: 8 bits of each slot, so unlike slots agree once in 256."""
+    return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def _block_pairs(best: int | None, least: float):
+    """Pairs of two blocks of a bucket whose labels differ and whose sketches leave room; of each row the best few, or all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for x, y in zip(batch.column(0), batch.column(1)):
+                (ix, lx, sx), (iy, ly, sy) = _block(x.values), _block(y.values)
+                est = np.stack([agreement(row, sy) for row in sx])
+                est[(lx[:, None] == ly) | (ix[:, None] == iy)] = -1
+                if best is not None and est.shape[1] > best:
+                    est[est < -np.partition(-est, best - 1, axis=1)[:, best - 1 : best]] = -1
+                i, j = np.nonzero(est >= least)
+                out.append(np.stack([np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])]))
+            a, b = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _block(m: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, labels, sketches = m.flatten()
+    return ids.to_numpy(), labels.to_numpy(), _sketches(sketches)
+
+
 # ---- links and components -------------------------------------------------------------------------------------
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): the smallest id of each linked set, for ids with links; by alternating star contraction."""
+    """(id, label): the smallest id of each linked set, for ids with links; by alternating star contraction, until every
+    id hangs on one root."""
     e = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     while True:
+        n, ids = e.agg(F.count("*"), F.count_distinct("a")).first()
+        if n == ids and e.join(e.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("id"), F.col("b").alias("label"))
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = durable(small.where("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state is not None and tuple(now) == state:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("label"))
-        state = tuple(now)
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+        e = durable(small.distinct())
 
 
 class Links:
@@ -185,60 +221,64 @@ class Links:
         small_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
         self.similar = similar
-        self.signed = durable(self.docs.mapInArrow(_signed, "doc_id long, key binary, bands array<long>"))
+        self.signed = durable(self.docs.mapInArrow(_signed, "doc_id long, key binary, bands array<long>, sketch binary"))
         self.members = self.signed.groupBy("key").agg(F.min("doc_id").alias("id"))
         self.edges, self.labels = self._link()
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
-        one = self.members.join(self.signed.where(F.size("bands") > 0), "key").where("id = doc_id").select("id", F.explode("bands").alias("bucket"))
-        one = durable(one)
-        shared = one.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1").select("bucket", "c")
-        many = durable(one.join(shared, "bucket").distinct())  # bucket, id, c
-        need = many.select("id").distinct()
+        own = self.members.join(self.signed.where(F.size("bands") > 0), "key").where("id = doc_id").select("id", "bands", "sketch").dropDuplicates(["id"])
+        own = durable(own)
+        one = own.select("id", F.explode("bands").alias("bucket"))
+        shared = one.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
+        many = durable(one.join(shared, "bucket"))  # bucket, id, n, c
+        need = durable(many.select("id").distinct())
         n = need.count()
-        if n <= BROADCAST_IDS:
-            need = F.broadcast(need)
-        picked = self.docs.join(need.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        few = F.broadcast(need) if n <= BROADCAST_IDS else need
+        self.sketches = durable(own.join(few, "id", "left_semi").select("id", "sketch"))
+        picked = self.docs.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         self.grams = durable(picked.mapInArrow(_grams, "id long, g binary").dropDuplicates(["id"]))
-        known = self._verify(many.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct())
-        for turn in range(CENTRE_ROUNDS + 1):
-            labels = components(known.where(F.col("sim") >= self.similar))
-            now = many.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            split = now.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s"), F.count("*").alias("labels")).where("labels > 1")
-            todo = split.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0
-            if not todo:
-                break
-            now = now.join(split.select("bucket"), "bucket", "left_semi")
-            last = todo <= PAIRS_PER_MEMBER * n or turn == CENTRE_ROUNDS
-            if last:
-                far = known.select(F.col("a").alias("c"), F.col("b").alias("id"), (1 - F.col("sim")).alias("far"))
-                now = now.join(far, ["c", "id"], "left").withColumn("far", F.when(F.col("id") == F.col("c"), 0.0).otherwise(F.col("far")))
-                now = durable(now)
-                x, y = now.alias("x"), now.alias("y")
-                apart = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - self.similar + 1e-9, F.lit(True))
-                pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & apart)
-                pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            else:
-                centre = now.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("m"))
-                pairs = now.join(centre, "bucket").where("label <> m.label").select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct()
-            pairs = pairs.join(known, ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-            known = durable(known.union(self._verify(pairs)))
-            if last:
-                labels = components(known.where(F.col("sim") >= self.similar))
-                break
+        known = self._verify(self._alike(many.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()))
+        labels = self._joined(need.withColumn("label", F.col("id")), known)
+        for best in (BEST, None):
+            now = durable(many.join(labels, "id"))
+            split = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
+            now = now.join(split, "bucket", "left_semi").join(self.sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+            blocks = durable(now.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "label", "sketch")).alias("m")))
+            x, y = blocks.select("bucket", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("y"))
+            pairs = x.join(y, "bucket").where("i <= j").select("x", "y")
+            pairs = pairs.mapInArrow(_block_pairs(best, self.similar - MARGIN), "a long, b long").distinct()
+            new = self._verify(pairs.join(known, ["a", "b"], "left_anti"))
+            known = known.union(new)
+            labels = self._joined(labels, new)
         return known.where(F.col("sim") >= self.similar), labels
 
+    def _alike(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave room for the similarity."""
+        a, b = self.sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), self.sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
+        least = self.similar - MARGIN
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.select([0, 1]).filter(pa.array(agreement(_sketches(batch.column(2)), _sketches(batch.column(3))) >= least))
+
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+    def _joined(self, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+        """labels with the sets that linked pairs connect made one; only the labels' own graph is contracted."""
+        a, b = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        e = pairs.where(F.col("sim") >= self.similar).join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        to = components(e).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        return durable(labels.join(to, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         a, b = self.grams.select(F.col("id").alias("a"), F.col("g").alias("x")), self.grams.select(F.col("id").alias("b"), F.col("g").alias("y"))
         return durable(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long, sim double"))
 
     def classes(self) -> DataFrame:
-        """doc_id, class_id (smallest doc_id of the linked set), n_links (verified links of its text to other texts)."""
-        degree = self.edges.select(F.col("a").alias("id")).union(self.edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-        m = self.members.join(self.labels, "id", "left").join(degree, "id", "left")
-        m = m.select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        out = self.signed.select("doc_id", "key").join(m, "key")
-        return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+        """doc_id and class_id, the smallest doc_id of the linked set."""
+        m = self.members.join(self.labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
+        return self.signed.select("doc_id", "key").join(m, "key").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
