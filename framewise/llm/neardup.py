@@ -9,10 +9,10 @@ process can still reach a slot, so heavy weights cost a logarithm.
 
 128 slots make 32 bands of 4: a pair at 0.8 shares none of them with probability 5e-8. Equal texts (equal word sequences)
 are one member throughout, so copies cost nothing. In each bucket all members are first compared with one centre, which links groups of copies by
-as many pairs as they have members. Only buckets that still hold different linked sets are looked at further: their members go in blocks of ``BLOCK`` with a
-sketch of 128 bytes each, every two blocks of a bucket meet once, and pairs of different sets whose sketches leave room for the similarity
-(an estimate ``MARGIN`` under it; missed with probability 1e-5 at 0.8, less above) are verified: first the best few of each member, and after linking
-these, all that are left. So no group emits all its pairs, and no cap is set. Centres with many members are spread by Spark's skew join.
+as many pairs as they have members. Only buckets that still hold different linked sets are looked at further: their members go in blocks of ``BLOCK`` with their
+shingles and a sketch of 128 bytes each, every two blocks of a bucket meet once, and pairs of different sets whose sketches leave room for the similarity
+(an estimate ``MARGIN`` under it; missed with probability 1e-5 at 0.8, less above) are verified there, each in the first bucket it shares; only links
+leave the task. So no group emits all its pairs, and no cap is set. Centres with many members are spread by Spark's skew join.
 
 The verified overlap is sum(min) / sum(max) of the two multisets, of 32-bit shingle hashes.
 
@@ -35,9 +35,9 @@ from .common import Words, durable, groups, mix, small_batches, table, utf8
 WORDS, SIMILAR, SLOTS, ROWS = 5, 0.8, 128, 4
 #: Ids (8 bytes each) that may be broadcast to pick documents for verification; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Documents of a block of a bucket; partners of a document of each block in the first of two looks; how far an estimate
-#: from a sketch may lie under the similarity it is to be verified at (4.3 standard deviations).
-BLOCK, BEST, MARGIN = 128, 2, 0.15
+#: Documents of a block of a bucket, pairs of blocks in a batch, and how far an estimate from a sketch may lie under the similarity it
+#: is to be verified at (4.3 standard deviations).
+BLOCK, BLOCK_ROWS, MARGIN = 64, 16, 0.15
 _STEP, _BAND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
@@ -171,29 +171,45 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _block_pairs(best: int | None, least: float):
-    """Pairs of two blocks of a bucket whose labels differ and whose sketches leave room; of each row the best few, or all."""
+def _block_links(similar: float):
+    """Verified pairs of two blocks of a bucket, as far as they join sets that differ. A pair is looked at in the first bucket it
+    shares, likeliest pairs first, and not if pairs found before in the same two blocks already join its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[np.ndarray] = []
-            for x, y in zip(batch.column(0), batch.column(1)):
-                (ix, lx, sx), (iy, ly, sy) = _block(x.values), _block(y.values)
+            out: list[tuple[int, int, float]] = []
+            for bucket, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                (ix, lx, sx, bx, gx), (iy, ly, sy, by, gy) = _block(x.values), _block(y.values)
                 est = np.stack([agreement(row, sy) for row in sx])
-                est[(lx[:, None] == ly) | (ix[:, None] == iy)] = -1
-                if best is not None and est.shape[1] > best:
-                    est[est < -np.partition(-est, best - 1, axis=1)[:, best - 1 : best]] = -1
-                i, j = np.nonzero(est >= least)
-                out.append(np.stack([np.minimum(ix[i], iy[j]), np.maximum(ix[i], iy[j])]))
-            a, b = np.unique(np.concatenate(out, 1), axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                able = (est >= similar - MARGIN) & (lx[:, None] != ly)
+                if np.array_equal(ix, iy):
+                    able &= ix[:, None] < iy
+                i, j = np.nonzero(able)
+                same = bx[i] == by[j]
+                here = bx[i, same.argmax(1)] == bucket
+                i, j = i[here], j[here]
+                root: dict[int, int] = {}
+
+                def find(k: int, root: dict[int, int] = root) -> int:
+                    while (up := root.get(k, k)) != k:
+                        root[k] = root.get(up, up)
+                        k = up
+                    return k
+
+                for k in np.argsort(-est[i, j], kind="stable"):
+                    p, q = find(int(lx[i[k]])), find(int(ly[j[k]]))
+                    if p != q and (sim := overlap(gx[i[k]], gy[j[k]])) >= similar:
+                        root[max(p, q)] = min(p, q)
+                        out.append((int(ix[i[k]]), int(iy[j[k]]), sim))
+            a, b, sims = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
     return run
 
 
-def _block(m: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, labels, sketches = m.flatten()
-    return ids.to_numpy(), labels.to_numpy(), _sketches(sketches)
+def _block(m: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    ids, labels, sketches, bands, grams = m.flatten()
+    return ids.to_numpy(), labels.to_numpy(), _sketches(sketches), bands.flatten().to_numpy().reshape(len(ids), -1), grams.to_pylist()
 
 
 # ---- links and components -------------------------------------------------------------------------------------
@@ -239,18 +255,16 @@ class Links:
         self.grams = durable(picked.mapInArrow(_grams, "id long, g binary").dropDuplicates(["id"]))
         known = self._verify(self._alike(many.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()))
         labels = self._joined(need.withColumn("label", F.col("id")), known)
-        for best in (BEST, None):
-            now = durable(many.join(labels, "id"))
-            split = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
-            now = now.join(split, "bucket", "left_semi").join(self.sketches, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-            blocks = durable(now.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "label", "sketch")).alias("m")))
-            x, y = blocks.select("bucket", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("y"))
-            pairs = x.join(y, "bucket").where("i <= j").select("x", "y")
-            pairs = pairs.mapInArrow(_block_pairs(best, self.similar - MARGIN), "a long, b long").distinct()
-            new = self._verify(pairs.join(known, ["a", "b"], "left_anti"))
-            known = known.union(new)
-            labels = self._joined(labels, new)
-        return known.where(F.col("sim") >= self.similar), labels
+        now = durable(many.join(labels, "id"))
+        split = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
+        whole = self.grams.join(own, "id")
+        now = now.join(split, "bucket", "left_semi").join(whole, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+        blocks = durable(now.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "label", "sketch", "bands", "g")).alias("m")))
+        x, y = blocks.select("bucket", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("y"))
+        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
+        new = durable(x.join(y, "bucket").where("i <= j").select("bucket", "x", "y").mapInArrow(_block_links(self.similar), "a long, b long, sim double"))
+        small_batches(self.spark)
+        return known.union(new).where(F.col("sim") >= self.similar), self._joined(labels, new)
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave room for the similarity."""
