@@ -28,6 +28,48 @@ def bitstream_rules(report: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def audio_rules(report: DataFrame, clip: float) -> DataFrame:
+    """report: video_id, dc, peak, silent (share), corr. A silent track is told alone."""
+    heard = F.col("silent") < 1
+    rules = [
+        rule(report, 1, "warn", "silent-track", "audio", ~heard, F.round("silent", 6), 1.0),
+        rule(report, 2, "warn", "dc-offset", "audio", heard & (F.abs("dc") > 0.00316), F.round(F.abs("dc"), 6), 0.00316),
+        rule(report, 3, "warn", "inverted-polarity", "audio", heard & (F.col("corr") < -0.95), F.round("corr", 6), -0.95),
+        rule(report, 4, "warn", "clipping", "audio", heard & (F.col("peak") >= clip), F.col("peak"), clip),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def hdr_rules(report: DataFrame) -> DataFrame:
+    """report: video_id, bt2020, bits, mastering, declared and measured light."""
+    over = F.round(F.col("measured") - F.col("declared") * 1.25, 6) > 0
+    rules = [
+        rule(report, 1, "warn", "hdr-primaries", "hdr", ~F.col("bt2020"), F.lit(0), 1),
+        rule(report, 2, "warn", "hdr-bit-depth", "hdr", F.col("bits") < 10, F.col("bits"), 10),
+        rule(report, 3, "info", "no-mastering", "hdr", ~F.col("mastering"), F.lit(0), 1),
+        rule(report, 4, "warn", "brighter-than-cll", "hdr", over, F.round("measured", 4), F.col("declared")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def comparison_rules(report: DataFrame) -> DataFrame:
+    """report: video_id, mean, worst, drops and banded (shares of frames)."""
+    rules = [
+        rule(report, 1, "warn", "worst-frame", "comparison", F.col("worst") < F.col("mean") - 15, F.col("worst"), F.round(F.col("mean") - 15, 6)),
+        rule(report, 2, "warn", "drops", "comparison", F.col("drops") >= 0.05, F.round("drops", 6), 0.05),
+        rule(report, 3, "warn", "banding", "comparison", F.col("banded") > 0, F.round("banded", 6), 0.0),
+        rule(report, 4, "ok", "no-banding", "comparison", F.col("banded") == 0, F.lit(0), 0.0),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def codec_rules(rates: DataFrame, oldest: str, tolerance: float = 0.03) -> DataFrame:
+    """rates: video_id, codec, rate; each codec against the oldest of its video."""
+    base = rates.where(F.col("codec") == oldest).select("video_id", F.col("rate").alias("base"))
+    g = rates.where(F.col("codec") != oldest).join(base, "video_id").withColumn("gap", F.round(F.col("rate") / F.col("base") - 1, 6))
+    return g.select("video_id", "codec", F.when(F.col("gap") < -tolerance, "saving").when(F.col("gap") > tolerance, "costlier").otherwise("even").alias("code"), "gap")
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     return findings.orderBy("video_id", level, "seq")

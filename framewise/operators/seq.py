@@ -140,3 +140,59 @@ def shots(cuts: DataFrame, ends: DataFrame) -> DataFrame:
     w = Window.partitionBy("video_id").orderBy("start")
     s = s.join(ends.select("video_id", F.col("end").alias("_end")), "video_id")
     return s.select("video_id", (F.row_number().over(w) - 1).alias("shot"), "start", F.coalesce(F.lead("start").over(w), F.col("_end")).alias("end"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their index (from 0) in a video; two streams are paired by an inner join on it, which ends with the shorter."""
+    return rows.withColumn("idx", (F.row_number().over(in_order("pos")) - 1).cast("long"))
+
+
+def with_shot(rows: DataFrame, shot: DataFrame) -> DataFrame:
+    """rows with the shot (and its start, ``shot_start``) that holds them: one sort of both, no range join."""
+    s = F.struct(F.col("shot").cast("long").alias("shot"), F.col("start").cast("long").alias("start"))
+    marks = shot.select("video_id", F.col("start").alias("pts"), s.alias("_s"))
+    u = rows.withColumn("_side", F.lit(1)).unionByName(marks.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    w = in_order("_side", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    held = u.withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
+    return held.select(*rows.columns, F.col("_s.shot").alias("shot"), F.col("_s.start").alias("shot_start"))
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
+    """Every point (video_id, pts) with every half-open range (video_id, start, end) that holds it; ranges are dealt into time cells of ``width``."""
+    cells = ranges.where("start < end").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    return points.withColumn("_cell", F.floor(F.col("pts") / width)).join(cells, ["video_id", "_cell"]).where("pts >= start AND pts < end").drop("_cell")
+
+
+def shake(rows: DataFrame, dx: str, dy: str, half: int) -> DataFrame:
+    """How far the summed movement lies from its own local trend."""
+    run = in_order("pos").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.withColumns({"_x": F.sum(dx).over(run), "_y": F.sum(dy).over(run)})
+    r = local_trend(local_trend(r, "_x", half).withColumnRenamed("trend", "_tx"), "_y", half)
+    return r.withColumn("shake", F.hypot(F.col("_x") - F.col("_tx"), F.col("_y") - F.col("trend"))).drop("_x", "_y", "_tx", "trend")
+
+
+def pieces(keys: DataFrame, ends: DataFrame, least: int) -> DataFrame:
+    """video_id, piece, start, end: from each kept key time to the first key time ``least`` later; a tail shorter than that joins the piece before.
+    The fold holds one video's key times."""
+    g = keys.groupBy("video_id").agg(F.array_sort(F.collect_set("pts")).alias("k"))
+    g = ends.join(g, "video_id", "left").withColumn("k", F.coalesce("k", F.array().cast("array<bigint>")))
+    take = lambda a, x: F.when(x - F.element_at(a, -1) >= least, F.concat(a, F.array(x))).otherwise(a)
+    g = g.withColumn("b", F.aggregate("k", F.array(F.col("start").cast("long")), take))
+    short = (F.size("b") > 1) & (F.col("end") - F.element_at("b", -1) < least)
+    g = g.withColumn("b", F.when(short, F.slice("b", F.lit(1), F.size("b") - 1)).otherwise(F.col("b")))
+    p = g.select("video_id", "end", "b", F.posexplode("b").alias("piece", "start"))
+    return p.select("video_id", "piece", "start", F.coalesce(F.get("b", F.col("piece") + 1), F.col("end")).alias("end"))
+
+
+def keyframe_splits(rows: DataFrame, count: int, gap: int) -> DataFrame:
+    """video_id, part, first: up to ``count`` runs of frames of about one size, each from a key frame. Each ideal bound moves on to the next key frame, and
+    is kept if it lies ``gap`` frames after the last kept bound and before the end."""
+    n = numbered(rows)
+    ahead = in_order("pos").rowsBetween(0, Window.unboundedFollowing)
+    n = n.withColumn("_key", F.min(F.when(F.col("key"), F.col("idx"))).over(ahead)).withColumn("_n", F.count("*").over(Window.partitionBy("video_id")))
+    bounds = F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: F.floor(i * F.col("_n") / count))
+    at = n.where(F.array_contains(bounds, F.col("idx")))
+    g = at.where("_key IS NOT NULL").groupBy("video_id").agg(F.array_sort(F.collect_set("_key")).alias("k"))
+    g = n.groupBy("video_id").agg(F.max("_n").alias("_n")).join(g, "video_id", "left").withColumn("k", F.coalesce("k", F.array().cast("array<bigint>")))
+    take = lambda a, x: F.when((x - F.element_at(a, -1) >= gap) & (F.col("_n") - x >= gap), F.concat(a, F.array(x))).otherwise(a)
+    return g.select("video_id", F.posexplode(F.aggregate("k", F.array(F.lit(0).cast("long")), take)).alias("part", "first"))

@@ -500,3 +500,6 @@ def s4(spark, sf):
     sec = lambda c: F.concat((F.expr(f"{c} div 1000000000")).cast("string"), F.lit("."), F.lpad((F.col(c) % fn.NS).cast("string"), 9, "0"))
     line = F.concat(F.lit("pts_time="), F.when(F.col("pos") % 2 == 0, sec("pts")).otherwise("N/A"), F.lit("|dts_time="), sec("pts"), F.lit("|duration_time=0.040|size="), F.col("size").cast("string"), F.lit("|flags="), F.when(F.col("key"), "K__").otherwise("___"))
     return ingest.packets(p.select("video_id", "pos", line.alias("value")))
+
+
+from . import wider  # noqa: E402, F401  (registers its queries)
