@@ -54,7 +54,7 @@ def class_shares(shots: DataFrame) -> DataFrame:
     """Shots, frames and share of each class, the longest first; of equals the one that came first."""
     g = shots.groupBy("video_id", "class").agg(F.count("*").alias("shots"), F.sum("frames").alias("frames"), F.min("start").alias("_first"))
     v = Window.partitionBy("video_id")
-    return g.select("video_id", "class", "shots", "frames", F.round(F.col("frames") / F.sum("frames").over(v), 6).alias("share"), F.row_number().over(v.orderBy(F.desc("frames"), "_first")).alias("place"))
+    return g.select("video_id", "class", "shots", "frames", F.round(F.col("frames") / F.sum("frames").over(v), 6).alias("share"), F.row_number().over(v.orderBy(F.desc("frames"), "_first")).cast("long").alias("place"))
 
 
 def validation_errors(errors: DataFrame) -> DataFrame:

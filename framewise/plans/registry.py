@@ -502,4 +502,4 @@ def s4(spark, sf):
     return ingest.packets(p.select("video_id", "pos", line.alias("value")))
 
 
-from . import wider  # noqa: E402, F401  (registers its queries)
+from . import kernels, wider  # noqa: E402, F401  (register their queries)
