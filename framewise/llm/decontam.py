@@ -7,7 +7,7 @@ comparing the words themselves.
 
 Size of the broadcast: the benchmark's text is measured first. Up to ``slice_bytes`` (default 32 MB) it is one
 set; a larger one is dealt into slices of that size by a hash of the item id, each slice is one pass over the
-documents, and the passes' few hit rows are merged by document. So no set beyond the bound is ever broadcast and
+documents, and the passes' rows are merged by a row id. So no set beyond the bound is ever broadcast and
 nothing is dropped.
 
 Defined cases: null text has no words (0 words, no hit); empty documents or benchmark give no hits; repeated
@@ -100,22 +100,29 @@ def scan(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def slices(bench: DataFrame, slice_bytes: int = SLICE_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's items in parts of about slice_bytes."""
+def n_slices(bench: DataFrame, slice_bytes: int | None = None) -> int:
+    """The number of parts of about slice_bytes (default SLICE_BYTES) of the benchmark's text."""
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // (slice_bytes or SLICE_BYTES)))
+
+
+def slices(bench: DataFrame, k: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items in k parts."""
     b = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    k = max(1, -(-total // slice_bytes))
     for i in range(k):
         yield [tuple(r) for r in (b if k == 1 else b.where(F.pmod(F.xxhash64("item"), F.lit(k)) == i)).collect()]
 
 
-def matches(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """docs without text, with _n_words, _hit (words), _spans (byte ranges of hit runs) and _items."""
     small_batches(docs.sparkSession)
-    parts = [scan(docs, Index(part, n)) for part in slices(bench, slice_bytes)]
-    if len(parts) == 1:
+    k = n_slices(bench, slice_bytes)
+    if k > 1:  # rows of one document, and of none, must stay apart while passes are merged
+        docs = durable(docs.select(F.expr("uuid()").alias("_row"), *[F.col(f"`{c}`") for c in docs.columns]))
+    parts = [scan(docs, Index(part, n)) for part in slices(bench, k)]
+    if k == 1:
         return parts[0]
-    return _merged(parts, [c for c in docs.columns if c != "text"])
+    return _merged(parts, [c for c in docs.columns if c != "text"]).drop("_row")
 
 
 def _merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -132,12 +139,9 @@ def _merged(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     )
 
 
-def report(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    d = docs.select("doc_id", "text")
-    if slice_bytes != SLICE_BYTES:  # rows of one document must stay apart while passes are merged
-        d = durable(d.select(F.expr("uuid()").alias("_row"), "doc_id", "text"))
-    m = matches(d, bench, n, slice_bytes)
+    m = matches(docs.select("doc_id", "text"), bench, n, slice_bytes)
     return m.select(
         "doc_id",
         F.col("_n_words").alias("n_words"),
@@ -158,7 +162,7 @@ def _without(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, data[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", n: int = N, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """docs with their own columns, without the documents that hold a benchmark window (remove="documents"), or
     with the hit words cut out of their texts (remove="spans"). One pass for each slice of the benchmark."""
     small_batches(docs.sparkSession)
@@ -166,7 +170,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     at, out = schema.fieldNames().index("text"), docs
     if remove == "spans":
         out = docs.withColumn(cut, F.array().cast("array<long>"))
-    for part in slices(bench, slice_bytes):
+    for part in slices(bench, n_slices(bench, slice_bytes)):
         held = docs.sparkSession.sparkContext.broadcast(Index(part, n))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -344,6 +344,16 @@ def test_decontamination_odd_rows_and_slices(spark):
     assert decontam.report(odd(spark).where("false"), bench).count() == 0 and decontam.report(odd(spark), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_slices_by_itself(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "one two"), (2, "naïve 日本語"), (3, "three")], "item_id long, text string")
+    d = spark.createDataFrame([(None, "one two"), (None, "three"), (None, "four"), (7, "one two three"), (7, "five"), (7, "one two three")], "doc_id long, text string")
+    whole = sorted(map(str, decontam.report(d, bench).collect()))
+    assert decontam.matches(d, bench, slice_bytes=6).count() == 6
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 6)
+    assert decontam.n_slices(bench) > 1
+    assert sorted(map(str, decontam.report(d, bench).collect())) == whole and len(whole) == 6
+
+
 # ---- pipeline -------------------------------------------------------------------------------------------------
 @here
 def test_pipeline_stages(spark):
