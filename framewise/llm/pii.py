@@ -3,8 +3,8 @@
 The patterns of ``BASE`` find e-mail addresses, IP addresses, payment cards and international phone numbers; these spans
 always stay. The field adds what they miss (written-out addresses, national phone numbers, identity numbers, secrets):
 it splits a text into outside tokens and whole segments of a type, of at most ``LONGEST`` tokens. A segment is a candidate
-if it holds a digit or an ``@`` or spells one out (``at``) and has at most ``WIDEST`` characters, so text farther than that from any digit
-or ``@`` is outside, at score 0, and the dynamic programme runs only around those signs; that is exact. Features describe the
+if it holds a digit, an ``@`` or a token ``at`` and has at most ``WIDEST`` characters, so text farther than that from any of these
+signs is outside, at score 0, and the dynamic programme runs only around them; that is exact. Features describe the
 whole segment at once: its shape, number of digits, check digit, being a value of four bytes, being hexadecimal, the words
 to its left. Boundaries and types are chosen jointly by the best path.
 
@@ -87,7 +87,7 @@ def written(spans: list[Span]) -> str:
 
 # ---- the field ------------------------------------------------------------------------------------------------
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-WIDEST = 200
+WIDEST, LEFT = 200, 4
 _HEX = re.compile(r"[0-9a-fA-F]{16,}")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{12,}")
 _QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
@@ -127,7 +127,7 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple[st
         out.append("inside")
     if a and text[a - 1] in "+-.@_/(" or b < len(text) - 1 and text[b] in "-.@_/" and text[b + 1].isalnum():
         out.append("joined")
-    left = [text[x:y].lower() for x, y in toks[max(0, i - 4) : i]]
+    left = [text[x:y].lower() for x, y in toks[max(0, i - LEFT) : i]]
     quote = bool(left) and left[-1] in "\"'"
     for w in left:
         if w in CUES:
@@ -146,7 +146,7 @@ def candidates(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out = []
     for i in range(len(toks)):
         c = text[toks[i][0]]
-        if not (c.isalnum() or c in "+("):
+        if not (c.isalnum() or c in "+(") or before[min(i + LONGEST, len(toks))] == before[i]:
             continue
         for j in range(i + 1, min(i + LONGEST, len(toks)) + 1):
             x, y = toks[j - 2] if j - 2 >= i else toks[i], toks[j - 1]
@@ -167,6 +167,7 @@ class Field:
 
     def __init__(self):
         self.weights: dict[str, np.ndarray] = {}
+        self.dull = [False] * 7
 
     def score(self, f: tuple[str, ...]) -> np.ndarray:
         total = np.zeros(len(KINDS))
@@ -175,11 +176,26 @@ class Field:
                 total = total + w
         return total
 
+    def bound(self) -> None:
+        """By number of tokens: whether no segment without digit, @, spelled-out address and cue can score above 0."""
+        up = {x: np.maximum(w, 0) for x, w in self.weights.items()}
+        none = np.zeros(len(KINDS))
+        shapes = [w for x, w in up.items() if x.startswith("shape") and "@" not in x and not re.search("d[0-9]", x[5:])]
+        most = self.score(("bias", "digits0")) + sum((up.get(x, none) for x in ("hex", "newline", "odd", "inside", "joined")), none) + np.max([none, *shapes], axis=0)
+        self.dull = [bool((most + self.score((f"tokens{n}",)) < -1e-6).all()) for n in range(7)]
+
     def best(self, text: str) -> list[Span]:
         """The best split of a text into outside tokens (score 0) and segments."""
         toks = tokens(text)
         ends: dict[int, list[tuple[int, float, int]]] = {}
+        at, cued = -1, False
         for i, j in candidates(text, toks):
+            if i != at:
+                at, cued = i, any(text[x:y].lower() in CUES for x, y in toks[max(0, i - LEFT) : i])
+            if not cued and self.dull[min(j - i, 6)]:
+                a, b = toks[i][0], toks[j - 1][1]
+                if not _SIGN.search(text, a, b) and not _SPOKEN.fullmatch(text, a, b):
+                    continue  # bound() says that its score isn't above 0
             s = self.score(features(text, toks, i, j))
             k = int(s.argmax())
             if s[k] > 0:  # a segment under the outside score is on no best path
@@ -249,6 +265,7 @@ class Field:
                 square[used] += total * total
                 w[used] += rate * total / np.sqrt(square[used])
         self.weights = {x: w[i] for x, i in names.items()}
+        self.bound()
 
 
 def invented(n: int = 360, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -311,27 +328,38 @@ def trained() -> Field:
 
 
 REACH = WIDEST + 60
-_NEAR = re.compile(r"[0-9@]|\bat\b.{1,40}\bdot\b")
+#: Every sign that candidates() takes: a digit, an @ or a token "at".
+_NEAR = re.compile(r"[0-9@]|(?<![^\W_])at(?![^\W_])")
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits, @ and spelled-out addresses, cut at white space; all candidates lie inside."""
+    """Stretches around the signs, cut at white space; all candidates lie inside, with the LEFT tokens before them."""
     lo = hi = None
     for m in _NEAR.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if hi is not None and m.end() + REACH <= hi:
+            continue
+        a, b = _whole(text, m.start(), m.end())
         if hi is not None and a <= hi:
-            hi = b
+            hi = max(hi, b)
             continue
         if hi is not None:
-            yield _whole(text, lo, hi)
+            yield lo, hi
         lo, hi = a, b
     if hi is not None:
-        yield _whole(text, lo, hi)
+        yield lo, hi
 
 
-def _whole(text: str, lo: int, hi: int) -> tuple[int, int]:
-    while lo > 0 and not text[lo - 1].isspace():
-        lo -= 1
+def _whole(text: str, start: int, end: int) -> tuple[int, int]:
+    """The stretch of the candidates that hold text[start:end]."""
+    reach = REACH
+    while True:
+        lo = max(0, start - reach)
+        while lo > 0 and not text[lo - 1].isspace():
+            lo -= 1
+        if lo == 0 or len(tokens(text[lo : max(lo, start - WIDEST)])) > LEFT:
+            break
+        reach *= 2
+    hi = min(len(text), end + REACH)
     while hi < len(text) and not text[hi].isspace():
         hi += 1
     return lo, hi
@@ -341,10 +369,8 @@ def find(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and those of the field that overlap none."""
     text = text or ""
     base = base_spans(text)
-    added, last = [], 0
+    added = []
     for lo, hi in regions(text):
-        lo = max(lo, last)
-        last = hi
         for a, b, k in field.best(text[lo:hi]):
             a, b = a + lo, b + lo
             if not any(a < y and x < b for x, y, _ in base):

@@ -81,6 +81,22 @@ def test_field_finds_held_out_spans_and_best_path_is_best():
     assert math.isclose(path, best(0), abs_tol=1e-9)
 
 
+def test_regions_hold_every_candidate(spark):
+    field, r = pii.trained(), random.Random(9)
+    rows = [(1, "please mail john(at)acme.com today"), (2, "please mail john [at] acme.org today"), (3, "meet at noon")]
+    got = {x.doc_id: x.spans for x in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "email:12:28", 2: "email:12:30", 3: ""}
+    assert all(field.dull[1:])
+    plain = pii.Field()
+    plain.weights = field.weights  # scores every candidate
+    bits = ["john(at)acme.com", "eva [at] acme [dot] org", "ann at home dot net", "at", "chat", "_at_", "call", "ssn", "123-45-6789", "a@b.cd", "12", "x" * 90, " " * 150, "\n"]
+    for _ in range(150):
+        text = " ".join(r.choice(bits) if r.random() < 0.1 else "w" * r.randint(1, 12) for _ in range(r.randint(1, 250)))
+        base = pii.base_spans(text)
+        whole = [s for s in plain.best(text) if not any(s[0] < y and x < s[1] for x, y, _ in base)]
+        assert pii.find(text, field) == (base, pii.ordered(base + whole)), text
+
+
 def test_pii_odd_rows(spark):
     rows = [*ODD, (9, "mail é a.b@c.de " + "x" * 50000 + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"')]
     got = pii.detect(odd(spark, rows)).collect()
