@@ -24,6 +24,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,20 +153,24 @@ class WordTokenizer:
     """A lower-casing tokenizer that drops white space and splits letters, single digits and other signs apart,
     applied to each different piece once; pieces are cut only where one of its tokens ends whatever stands around.
 
-    ``__init__`` refuses files for which that doesn't hold on a probe text.
+    ``__init__`` refuses files for which that doesn't hold on a probe text. With ``special``, texts that hold the string of an
+    added token go through the library whole, which gives its id; without, the string is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
+        self.added: list[tuple[str, bool]] = []
         self.known: dict[str, int] = {}
         self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
         probe = "Ab cD\n 12x3 x's don't!? 'tis a'b !'s 1.5e é\tÉa! z-9'll \"we're\" <|endoftext|>"
         if self.of.encode(probe, add_special_tokens=False).ids != self.encode(pa.array([probe]))[0].tolist():
             raise ValueError("this tokenizer doesn't split as assumed")
+        if special:
+            self.added = [(t.content, t.normalized) for t in self.of.get_added_tokens_decoder().values()]
 
     @staticmethod
     def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -213,6 +218,23 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
+        held = np.zeros(len(texts), bool)
+        for s, normalized in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, s, ignore_case=normalized), False).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self._encode(texts)
+        ids, counts = self._encode(pc.if_else(pa.array(held), pa.scalar("", texts.type), texts))
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        parts, at = [], 0
+        self.of.encode_special_tokens = False
+        for i in np.flatnonzero(held).tolist():
+            got = self.of.encode(texts[i].as_py(), add_special_tokens=False).ids
+            parts += [ids[at : upto[i]], np.array(got, np.uint32)]
+            at, counts[i] = upto[i], len(got)
+        self.of.encode_special_tokens = True
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = utf8(texts)
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo, hi in groups(off, 1 << 20):
@@ -230,7 +252,7 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, special=True)
     return _tokenizers[path]
 
 

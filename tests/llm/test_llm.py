@@ -343,6 +343,25 @@ def test_tokens_equal_the_library(spark):
     assert len(got) == len(rows) and tokenbin.read_shards(tokenbin.write_shards(d.where("false"), path)).count() == 0
 
 
+def test_added_tokens_equal_the_unmodified_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["b c", "a <|endoftext|> b", None, "<|startoftext|><|EndOfText|>Ab cD", "x" * 50, "", "é<|endoftext|><|endoftext|>", "z <|endoftext| > <|endoftext", "last one"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[1] == [320, 49407, 321]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = 0
+    for w, g in zip(want, tokenbin.read_shards(tokenbin.write_shards(d, path)).orderBy("start").collect(), strict=True):
+        e = np.array(w + [tokenbin.END], "<u4")
+        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(e), zlib.crc32(e.tobytes()))
+        start += len(e)
+    ids, n = tokenbin.WordTokenizer(path, special=True).encode(pa.array(texts))
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 # ---- decontamination ------------------------------------------------------------------------------------------
 def test_decontamination_odd_rows_and_slices(spark):
     bench = spark.createDataFrame([(10, "beta GAMMA delta epsilon zeta eta theta iota kappa lambda"), (2, "one-two"), (None, "naïve 日本語"), (5, None), (6, "?!"), (10, "word word word")], "item_id long, text string").withColumn("doc_id", F.lit(1))
