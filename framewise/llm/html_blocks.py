@@ -40,10 +40,21 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_EVERY = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'][^\s]*")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+_MAYBE = re.compile(r"hidden|style", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether an element's attributes hold one named hidden, or a style with display: none."""
+    for a in _EVERY.finditer(attrs):
+        name = (a[1] or "").lower()
+        if name == "hidden" or name == "style" and _NONE.search(html.unescape(a[2] or a[3] or a[4] or "")):
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("text", "path", "links")
 
@@ -124,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         if attrs:
             for a in _ATTR.finditer(attrs):
                 words += [f"{a[1].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-        unseen = name in UNSEEN or bool(attrs and _HIDDEN.search(attrs))
+        unseen = name in UNSEEN or bool(attrs and _MAYBE.search(attrs) and is_hidden(attrs))
         stack.append((name, (*(stack[-1][1] if stack else ()), *words)[-40:], unseen, name in BLOCK))
         hidden += unseen
         links += name == "a"

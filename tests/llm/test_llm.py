@@ -162,6 +162,13 @@ def test_articles_of_the_pages(spark):
     assert same >= 0.98 * len(got)
 
 
+def test_only_hidden_attributes_hide():
+    page = '<p>a <a title="A hidden gem">b</a> c</p><div aria-label="The hidden cost of rent">d</div><article class="card hidden md:block">e</article><p data-x="display: none">f</p><p data-hidden>g</p><p title=\'x="1" hidden y\'>h</p><p style="x-display:none">i</p><p class=hidden>i2</p>'
+    assert [b.text for b in html_blocks.blocks(page)] == ["a b c", "d", "e", "f", "g", "h", "i", "i2"]
+    page = '<p hidden>a</p><p HIDDEN="">b</p><p id=x hidden=until-found>c</p><p style="color: red; Display : none">d</p><p style=display:none>e</p><p style=\'display:none !important;\'>f</p><p class="x"hidden>g</p>h'
+    assert [b.text for b in html_blocks.blocks(page)] == ["h"]
+
+
 # ---- language and quality -------------------------------------------------------------------------------------
 @here
 def test_language_held_out(spark):
