@@ -7,8 +7,8 @@ which bounds the plan and survives lost executors. The number of rounds is fixed
 document's probability is ``least(1, rate * fitted / tokens)`` of its cell, where rate brings the expected tokens to ``keep`` of all
 tokens before clipping at 1, and it is drawn by an md5 of its id: reproducible, independent of partitions.
 
-Targets: a marginal is a dict of category to weight (others get nothing listed: the weight of ``OTHER``, shared by
-their tokens), or a number a: proportional to tokens ** a of each category (0: equal, 1: as they are).
+Targets: a marginal is a dict of category to weight (those not listed share the weight of ``OTHER``, nothing by
+default, by their tokens), or a number a: proportional to tokens ** a of each category (0: equal, 1: as they are).
 
 Defined cases: null text has no tokens and weight 0, and is kept only if its probability, that of its cell, says so;
 null source or language is the category ``unknown``; empty tables give empty tables; repeated rows are drawn alike
@@ -27,6 +27,8 @@ OTHER = "other"
 #: Default marginals: sources and topics tempered, languages by these weights.
 SOURCE_POWER, TOPIC_POWER = 0.5, 0.5
 LANGS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+#: Weight of all languages beyond these, ``unknown`` included, if there are any.
+OTHER_LANGS = 0.1
 DIGITS = 9
 
 
@@ -51,7 +53,10 @@ def _target(cells: DataFrame, key: str, marginal: float | dict[str, float], tota
     own = F.sum("tokens").over(Window.partitionBy(key))
     if isinstance(marginal, dict):
         named = F.coalesce(*[F.when(F.col(key) == k, F.lit(float(v))) for k, v in sorted(marginal.items()) if k != OTHER], F.lit(None).cast("double"))
-        return F.coalesce(named, F.lit(float(marginal.get(OTHER, 0.0))))
+        rest = float(marginal.get(OTHER, 0.0))
+        if rest:
+            rest /= cells.where(named.isNull()).agg(F.sum("tokens")).first()[0] or 1.0
+        return F.coalesce(named, F.lit(rest) * own)
     return F.pow(own.cast("double"), F.lit(float(marginal)))
 
 
@@ -83,7 +88,7 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """docs with their cell, _share, _probability and _sampled."""
-    marginals = marginals or {"source": SOURCE_POWER, "lang": LANGS, "topic": TOPIC_POWER}
+    marginals = marginals or {"source": SOURCE_POWER, "lang": {**LANGS, OTHER: OTHER_LANGS}, "topic": TOPIC_POWER}
     d = with_cells(docs)
     cells = d.groupBy(*[F.col(f"_{k}").alias(k) for k in marginals]).agg(F.sum("_tokens").alias("tokens"))
     fitted = calibrate(cells, marginals, rounds, keep=keep)

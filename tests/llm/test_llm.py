@@ -118,6 +118,17 @@ def test_raking_meets_the_marginals(spark):
     assert all(abs(langs[k] - v / sum(mixing.LANGS[x] for x in langs)) < 1e-4 for k, v in mixing.LANGS.items() if k in langs)
 
 
+def test_unlisted_languages_share_a_weight(spark):
+    lang = lambda i: ("en", "de", "fr", "es", "pt", None)[i % 6] if i % 5 else "pt"
+    d = spark.createDataFrame([(i, "w " * (i % 7 + 1), lang(i), "s") for i in range(600)], "doc_id long, text string, lang string, source string")
+    assert {r.lang for r in mixing.sample(d).collect()} == {"en", "de", "fr", "es", "pt", None}
+    got = mixing.weigh(d, rounds=20, keep=0.05).groupBy("_lang").agg(F.sum(F.col("_tokens") * F.col("_probability")).alias("e"), F.sum("_tokens").alias("n")).collect()
+    total = sum(r.e for r in got)
+    share, n = {r._lang: r.e / total for r in got}, {r._lang: r.n for r in got}
+    w = mixing.OTHER_LANGS / (sum(mixing.LANGS.values()) + mixing.OTHER_LANGS)
+    assert abs(share["pt"] + share["unknown"] - w) < 1e-4 and abs(share["pt"] / share["unknown"] - n["pt"] / n["unknown"]) < 1e-3
+
+
 def test_mixing_odd_rows(spark):
     d = odd(spark)
     got = mixing.weigh(d)
