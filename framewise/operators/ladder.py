@@ -11,15 +11,27 @@ from ..shipping import ship
 
 
 def isotonic(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Monotone fit of y over x: max over j <= i of min over k >= i of the mean of y from j to k, from prefix sums. A group is one curve's probes, a handful."""
-    w = Window.partitionBy(*by).orderBy(x, y)
-    p = points.select(*by, x, y, F.row_number().over(w).alias("i"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    j, k = p.select(*by, F.col("i").alias("j"), (F.col("s") - F.col(y)).alias("sj")), p.select(*by, F.col("i").alias("k"), F.col("s").alias("sk"))
-    means = j.join(k, by).where("j <= k").select(*by, "j", "k", ((F.col("sk") - F.col("sj")) / (F.col("k") - F.col("j") + 1)).alias("m"))
-    tail = Window.partitionBy(*by, "j").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
-    means = means.withColumn("low", F.min("m").over(tail))  # min over k >= this k
-    best = means.groupBy(*by, F.col("k").alias("i")).agg(F.max("low").alias("fitted"))
-    return p.join(best, [*by, "i"]).select(*by, x, y, "fitted")
+    """Monotone fit of y over x: neighbours that fall are pooled to their mean, taken from prefix sums. Linear in a group's points, which meet in one task."""
+    p = points.select(*by, x, F.col(y).cast("double").alias(y))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([x, y])
+        v = pdf[y].to_numpy(float)
+        s = np.cumsum(v)
+        begin, mean = [], []
+        for i in range(len(v)):
+            j, m = i, v[i]
+            while begin and mean[-1] >= m:
+                j = begin.pop()
+                mean.pop()
+                m = (s[i] - (s[j] - v[j])) / (i - j + 1)
+            begin.append(j)
+            mean.append(m)
+        return pdf.assign(fitted=np.repeat(mean, np.diff([*begin, len(v)])))
+
+    ship(points.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields)
+    return p.groupBy(*by).applyInPandas(fit, fields + ", fitted double")
 
 
 def curves(probes: DataFrame) -> DataFrame:

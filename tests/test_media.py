@@ -124,6 +124,20 @@ def test_isotonic_equals_pooling(spark):
         assert np.allclose(got[g], [v for v, n in blocks for _ in range(n)])
 
 
+def test_isotonic_takes_a_long_curve(spark):
+    r = random.Random(2)
+    ys = [i / 1000 + r.gauss(0, 3) for i in range(20_000)]
+    fit = ladder.isotonic(spark.createDataFrame([(1, i, y) for i, y in enumerate(ys)], "g int, x long, y double"), ["g"], "x", "y")
+    assert "Join" not in fit._jdf.queryExecution().toString()  # the pairs of a long curve are too many
+    blocks = []
+    for y in ys:
+        blocks.append([y, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, m), (b, n) = blocks[-2:]
+            blocks[-2:] = [[(a * m + b * n) / (m + n), m + n]]
+    assert np.allclose([x.fitted for x in fit.orderBy("x").collect()], [v for v, n in blocks for _ in range(n)])
+
+
 def test_curve_values(spark):
     p = spark.createDataFrame([(1, 720, 500_000, 60.0), (1, 720, 4_000_000, 92.0), (1, 720, 1_414_214, 80.0), (1, 720, 0, 5.0)], "title int, height int, bitrate long, vmaf double")
     rates = spark.createDataFrame([(1, 1_414_214.0), (1, 840_896.0), (1, 8e6), (1, 4e6)], "title int, rate double")
