@@ -60,8 +60,38 @@ def _target(cells: DataFrame, key: str, marginal: float | dict[str, float], tota
     return F.pow(own.cast("double"), F.lit(float(marginal)))
 
 
-def calibrate(cells: DataFrame, marginals: dict[str, float | dict[str, float]], rounds: int = ROUNDS, cut_every: int = CUT_EVERY, keep: float = KEEP) -> DataFrame:
-    """cells (source, lang, topic, tokens) with fitted share and probability."""
+def _fill(part: Window, to: Column, cap: Column, w: Column) -> tuple[Column, Column]:
+    """cap / w, and the candidates of the factor f for which the sum of least(cap, f * w) over a window's partition is ``to``: the greatest that isn't above its cap / w."""
+    r = F.when(w > 0, cap / w)
+    before, after = part.orderBy(r.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1), part.orderBy(r.asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    return r, (to - F.coalesce(F.sum(F.when(w > 0, cap)).over(before), F.lit(0.0))) / F.nullif(F.sum(w).over(after), F.lit(0.0))
+
+
+def _bounded(cells: DataFrame, keys: list[str], total: float, rounds: int, cut_every: int, keep: float) -> DataFrame:
+    """Raked weights of which none asks for more than all of a cell's tokens: a category with too few tokens for its target gives all of
+    them and the others share the rest, and within a category what full cells can't give comes from the others."""
+    cells = cells.withColumns({"_u": F.col("w"), "_cap": F.col("tokens") / F.lit(float(keep) * float(total or 1))})
+    for key in keys:
+        c = durable(cells.where("tokens > 0").groupBy(key).agg(F.first(f"_to_{key}").alias("t"), F.sum("_cap").alias("cap")))
+        r, f = _fill(Window.partitionBy(F.lit(1)), F.lit(1.0), F.col("cap"), F.col("t"))
+        x = c.withColumn("r", r).withColumn("f", f).agg(F.coalesce(F.max(F.when(F.col("f") <= F.col("r"), F.col("f"))), F.max("r"))).first()[0]
+        own = F.sum("_cap").over(Window.partitionBy(key))
+        cells = cells.withColumn(f"_to_{key}", F.least(own, F.lit(float(x or 0.0)) * F.col(f"_to_{key}")))
+    cells = durable(cells)
+    for i in range(rounds):
+        for key in keys:
+            p = Window.partitionBy(key)
+            r, f = _fill(p, F.col(f"_to_{key}"), F.col("_cap"), F.col("_u"))
+            cells = cells.withColumn("_r", r).withColumn("_f", f)
+            x = F.coalesce(F.max(F.when(F.col("_f") <= F.col("_r"), F.col("_f"))).over(p), F.max("_r").over(p), F.lit(0.0))
+            cells = cells.withColumn("_u", F.col("_u") * x)
+        if (i + 1) % cut_every == 0 and i + 1 < rounds:
+            cells = durable(cells)
+    return cells.withColumn("w", F.least("_u", "_cap"))
+
+
+def calibrate(cells: DataFrame, marginals: dict[str, float | dict[str, float]], rounds: int = ROUNDS, cut_every: int = CUT_EVERY, keep: float = KEEP, bounded: bool = False) -> DataFrame:
+    """cells (source, lang, topic, tokens) with fitted share and probability. With ``bounded`` no probability has to be cut at 1."""
     cells = durable(cells)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     keys = list(marginals)
@@ -71,6 +101,8 @@ def calibrate(cells: DataFrame, marginals: dict[str, float | dict[str, float]],
         one = cells.where("tokens > 0").groupBy(key).agg(F.first(f"_raw_{key}").alias("v")).agg(F.sum("v")).first()[0] or 1.0
         cells = cells.withColumn(f"_to_{key}", F.col(f"_raw_{key}") / F.lit(one)).drop(f"_raw_{key}")
     cells = durable(cells.withColumn("w", F.col("tokens").cast("double") / F.lit(float(total or 1))))
+    if bounded:
+        cells, rounds = _bounded(cells, keys, total, rounds, cut_every, keep), 0
     for i in range(rounds):
         for key in keys:
             s = F.sum("w").over(Window.partitionBy(key))
@@ -86,12 +118,12 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic(F.col("text")), "_tokens": n_tokens(F.col("text"))})
 
 
-def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP, bounded: bool = False) -> DataFrame:
     """docs with their cell, _share, _probability and _sampled."""
     marginals = marginals or {"source": SOURCE_POWER, "lang": {**LANGS, OTHER: OTHER_LANGS}, "topic": TOPIC_POWER}
     d = with_cells(docs)
     cells = d.groupBy(*[F.col(f"_{k}").alias(k) for k in marginals]).agg(F.sum("_tokens").alias("tokens"))
-    fitted = calibrate(cells, marginals, rounds, keep=keep)
+    fitted = calibrate(cells, marginals, rounds, keep=keep, bounded=bounded)
     fitted = fitted.select(*[F.col(k).alias(f"_{k}") for k in marginals], F.col("share").alias("_share"), F.col("probability").alias("_probability"))
     out = d.join(fitted, [f"_{k}" for k in marginals], "left")  # AQE splits a hot cell, or broadcasts cells of a small size
     return out.withColumn("_sampled", uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix") < F.col("_probability"))
@@ -99,7 +131,7 @@ def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS,
 
 def sample(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return weigh(docs, marginals, rounds, keep).where("_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return weigh(docs, marginals, rounds, keep, bounded=True).where("_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

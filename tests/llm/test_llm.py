@@ -129,6 +129,16 @@ def test_unlisted_languages_share_a_weight(spark):
     assert abs(share["pt"] + share["unknown"] - w) < 1e-4 and abs(share["pt"] / share["unknown"] - n["pt"] / n["unknown"]) < 1e-3
 
 
+def test_sampling_loses_nothing_to_the_bound(spark):
+    rows = [(i, "w " * (i % 7 + 1) + ("| a | b" if i % 50 == 0 else "c"), ("en", "de", "fr", "es")[min(3, i % 11)], f"s{i % 3 * (i % 8 > 0)}") for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    n = d.select(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
+    drawn = mixing.sample(d).select(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
+    assert abs(drawn / n - mixing.KEEP) < 0.03
+    got = mixing.weigh(d, bounded=True).select(F.sum(F.col("_tokens") * F.col("_probability")), F.max("_probability")).first()
+    assert abs(got[0] / n - mixing.KEEP) < 1e-3 and got[1] <= 1
+
+
 def test_mixing_odd_rows(spark):
     d = odd(spark)
     got = mixing.weigh(d)
