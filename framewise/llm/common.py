@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this machine only where none is set, as in tests."""
+    """The folder all executors share; a temporary one of this machine only where none is set and the driver is the only machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="framewise-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -43,9 +46,39 @@ def durable(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/framewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory that a finished task freed back to the system: a worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
+def unlike(columns: list[str], *names: str) -> list[str]:
+    """names, each behind as many underscores as make all of them differ from the columns, whatever their case."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` has written so far; call it when no DataFrame that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def uniform(col: Column, salt: str) -> Column:
     """A number in [0, 1) from md5 of the value as text; the same in any SQL engine that has md5."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), col.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))

@@ -4,8 +4,8 @@ Each document's UTF-8 bytes are cut into rows of 128. A GRU of 8 units reads a r
 position a softmax over both states labels the position, and a document's probabilities are the mean over all its positions. Rows are
 laid out by time with thousands side by side, so each step is a few matrix operations; input weights are a table by byte.
 
-Training is by backpropagation through time on the driver, with a bounded sample: ``PER_LANG`` documents of each of up to
-``MOST_LANGS`` languages (the most frequent), a stretch of ``WINDOW`` characters of each, picked by hashes. Every byte of every
+Training is by backpropagation through time on the driver, with a bounded sample: ``PER_LANG`` whole documents of each language, picked
+by hashes; every language that occurs is learned. Every byte of every
 document is read in prediction, in one pass without a shuffle.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without labelled rows every text is; with one
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups, small_batches, table, utf8
-from .nets import adam, chunks, id_crc, rows_of, sample_ids, window
+from .nets import adam, chunks, id_crc, rows_of, sample_rows
 
 UNITS, ROW, TRAIN_ROW = 8, 128, 64
-PER_LANG, MOST_LANGS, WINDOW, STEPS, BATCH = 400, 64, 600, 350, 192
+PER_LANG, STEPS, BATCH = 400, 350, 192
 
 
 class Net:
@@ -158,12 +158,10 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 5)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, steps: int = STEPS) -> Net | None:
-    """Fit on a bounded sample of documents outside the held-out quarter."""
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(id_crc() % 4 != 2)
-    ids, counts = sample_ids(known.select("doc_id", "lang"), "lang", per_lang, MOST_LANGS)
-    most = 2 * per_lang * max(1, len(counts))
-    rows, _ = sample_ids(known.select("doc_id", "lang", "text"), "lang", per_lang, MOST_LANGS)
-    rows = sorted(map(tuple, rows.select("doc_id", "lang", window(F.col("text"), WINDOW).alias("t")).limit(most).collect()))
+    """Fit on a bounded sample of whole documents outside the held-out quarter."""
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(id_crc() % 4 != 2).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    rows, _ = sample_rows(known, "lang", per_lang)
+    rows = sorted(map(tuple, rows.select("doc_id", "lang", "text").collect()))
     return train([t for _, _, t in rows], [x for _, x, _ in rows], steps) if rows else None
 
 

@@ -1,9 +1,9 @@
-"""Small pieces for the numpy networks: Adam, the bounded labelled sample, and byte windows of documents."""
+"""Small pieces for the numpy networks: Adam, the bounded labelled sample, and byte chunks of documents."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,20 +25,18 @@ def id_crc(c: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
 
-def sample_ids(labelled: DataFrame, label: str, per_label: int, most_labels: int) -> tuple[DataFrame, dict]:
-    """About per_label rows (doc_id, label) of each of the most frequent labels, picked by a hash of the id; counts."""
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    counts = {r[0]: r[1] for r in counts}
-    share = F.coalesce(*[F.when(F.col(label) == k, F.lit(min(1.0, per_label / n))) for k, n in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < share * F.lit(1 << 20)
-    return labelled.where(pick), counts
+def sample_rows(labelled: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict]:
+    """At most per_label rows of each label, those of the smallest hashes of id and row, with their label; and the labels' counts.
 
-
-def window(text: Column, size: int) -> Column:
-    """A stretch of up to size characters of a text, at a place given by a hash of the text."""
-    t = F.coalesce(text, F.lit(""))
-    room = F.greatest(F.length(t) - size, F.lit(0)) + 1
-    return F.substr(t, (F.pmod(F.xxhash64(t), room) + 1).cast("int"), F.lit(size))
+    A first pick by hash leaves some more than that, so that only few rows are ranked."""
+    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # as many as labels
+    if not counts:
+        return labelled.limit(0), counts
+    place = F.xxhash64(F.col("doc_id"), F.lit("sample"))
+    n = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(counts.items()) for x in kv]), F.col(label))
+    few = labelled.where(F.pmod(place, F.lit(1 << 30)) * n < F.lit((1 << 30) * (per_label + 6.0 * per_label**0.5 + 20.0)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(place, *[F.col(c) for c in labelled.columns]))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= per_label).drop("_rank"), counts
 
 
 def chunks(off: np.ndarray, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
