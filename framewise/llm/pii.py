@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ BASE_KINDS = KINDS[:4]
 LONGEST = 14
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
@@ -115,6 +117,8 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple[st
     for name, p in (("hex", _HEX), ("mixed", _MIXED), ("quad", _QUAD), ("mail", _MAIL), ("spoken", _SPOKEN), ("national", _NATIONAL), ("abroad", _ABROAD), ("personal", _PERSONAL)):
         if p.fullmatch(s):
             out.append(name)
+    if "spoken" in out and text[toks[j - 1][0] : b].lower() in TOP:
+        out.append("top")
     if "quad" in out and all(int(x) <= 255 for x in s.split(".")):
         out.append("bytes")
     if 13 <= n <= 19 and not re.search(r"[^0-9 -]", s):
@@ -135,6 +139,8 @@ def features(text: str, toks: list[tuple[int, int]], i: int, j: int) -> tuple[st
     return tuple(out)
 
 
+#: Last parts of written-out addresses.
+TOP = set("app biz ch co com de dev edu es eu fr gov info io it me net nl org uk us".split())
 #: Words that tell what follows.
 CUES = {"token": "secret", "secret": "secret", "key": "secret", "password": "secret", "passwd": "secret", "apikey": "secret", "phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobile": "phone", "ssn": "id", "id": "id", "social": "id", "passport": "id", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "mail": "email", "email": "email", "contact": "email"}
 
@@ -294,7 +300,7 @@ def invented(n: int = 360, seed: int = 11) -> list[tuple[str, list[Span]]]:
         "secret": lambda: pick([hexes(40), hexes(32), letters(4, 8) + digits(6) + letters(4, 9).upper() + digits(3)]),
     }
     lead = {"secret": ['token = "', "api key: ", 'password = "', "secret: "], "phone": ["call ", "tel ", "", ""], "id": ["ssn ", "id ", ""], "email": ["mail ", "contact ", "", ""], "card": ["card ", "", ""], "ip": ["host ", "", ""]}
-    none = [lambda: digits(4), lambda: f"{r.integers(0, 20)}.{r.integers(0, 20)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: digits(int(r.integers(1, 12))), wrong, lambda: f"{digits(3)},{digits(3)}", lambda: f"{r.integers(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: "at " + letters(3, 7), lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: letters(2, 5) + digits(3), lambda: f"looked at {letters(3, 8)} and {letters(3, 6)}", lambda: f"{digits(3)} {digits(3)}", lambda: "@" + letters(4, 8), lambda: f"{digits(1)}-{digits(2)}", lambda: f"page {digits(3)}-{digits(3)}"]
+    none = [lambda: digits(4), lambda: f"{r.integers(0, 20)}.{r.integers(0, 20)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: digits(int(r.integers(1, 12))), wrong, lambda: f"{digits(3)},{digits(3)}", lambda: f"{r.integers(300, 999)}.{digits(3)}.{digits(3)}.{digits(3)}", lambda: "at " + letters(3, 7), lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: letters(2, 5) + digits(3), lambda: f"looked at {letters(3, 8)} and {letters(3, 6)}", lambda: f"{digits(3)} {digits(3)}", lambda: f"{letters(3, 8)} at {letters(3, 8)} dot {letters(2, 7)}", lambda: "@" + letters(4, 8), lambda: f"{digits(1)}-{digits(2)}", lambda: f"page {digits(3)}-{digits(3)}"]
     data = []
     for _ in range(n):
         text, spans = "", []
@@ -336,9 +342,12 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
     """Stretches around the signs, cut at white space; all candidates lie inside, with the LEFT tokens before them."""
     lo = hi = None
     for m in _NEAR.finditer(text):
-        if hi is not None and m.end() + REACH <= hi:
+        if hi is not None and (m.end() + REACH <= hi or hi == len(text)):
             continue
-        a, b = _whole(text, m.start(), m.end())
+        # Once the stretch before is reached the two are one, so each character is looked at a bounded number of times.
+        a = _back(text, m.start(), hi or 0)
+        b = _SPACE.search(text, min(len(text), m.end() + REACH))
+        b = b.start() if b else len(text)
         if hi is not None and a <= hi:
             hi = max(hi, b)
             continue
@@ -349,40 +358,42 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
         yield lo, hi
 
 
-def _whole(text: str, start: int, end: int) -> tuple[int, int]:
-    """The stretch of the candidates that hold text[start:end]."""
+_SPACE = re.compile(r"\s")
+
+
+def _back(text: str, start: int, least: int) -> int:
+    """Where the candidates that hold text[start], and the LEFT tokens before them, begin at the earliest; least if that is earlier still."""
     reach = REACH
     while True:
-        lo = max(0, start - reach)
-        while lo > 0 and not text[lo - 1].isspace():
+        lo = start - reach
+        while lo > least and not text[lo - 1].isspace():
             lo -= 1
-        if lo == 0 or len(tokens(text[lo : max(lo, start - WIDEST)])) > LEFT:
-            break
+        if lo <= least:
+            return least
+        if len(tokens(text[lo : start - WIDEST])) > LEFT:
+            return lo
         reach *= 2
-    hi = min(len(text), end + REACH)
-    while hi < len(text) and not text[hi].isspace():
-        hi += 1
-    return lo, hi
 
 
 def find(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base ones and those of the field that overlap none."""
     text = text or ""
     base = base_spans(text)
-    added = []
+    starts, ends, added = [x for x, _, _ in base], list(accumulate((y for _, y, _ in base), max)), []
     for lo, hi in regions(text):
         for a, b, k in field.best(text[lo:hi]):
             a, b = a + lo, b + lo
-            if not any(a < y and x < b for x, y, _ in base):
+            n = bisect_left(starts, b)
+            if not n or ends[n - 1] <= a:
                 added.append((a, b, k))
     return base, ordered(base + added)
 
 
-SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """Per document: counts of base spans by kind, the digest of the base spans, and all spans."""
+    """Per document: counts of base spans by kind, the digest of the base spans, all spans, and their number."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trained())
     d = docs.select("doc_id", "text")
@@ -395,14 +406,14 @@ def detect(docs: DataFrame) -> DataFrame:
                     rows.append(_EMPTY)
                     continue
                 base, every = find(text, held.value)
-                rows.append((*(sum(k == kind for *_, k in base) for kind in BASE_KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(every)))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                rows.append((*(sum(k == kind for *_, k in base) for kind in BASE_KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(every), len(every)))
+            cols = list(zip(*rows)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:6]] + [pa.array(cols[6], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
 
 
-_EMPTY = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+_EMPTY = (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0)
 
 
 def redact(text: str | None, field: Field) -> str | None:
