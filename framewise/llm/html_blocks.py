@@ -16,6 +16,7 @@ repeated rows are read alike; other columns aren't looked at.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
@@ -33,17 +34,22 @@ STEPS, PAGES, TRAINING = 500, 16, 500
 
 #: Elements that separate blocks, whose content is no text, and that have no content.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol option optgroup p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-UNSEEN = set("script style noscript template textarea iframe object svg math canvas audio video head title select button datalist".split())
+UNSEEN = set("script style noscript template textarea iframe svg canvas audio video head title select button datalist".split())
 RAW = set("script style textarea title noscript iframe noframes xmp template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind closes an open one of the second within the same parent.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: The same without quotes, for the rest of a page after so many tags whose quotes don't close: each costs a look at the whole page.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>()()()", re.S)
+UNCLOSED = 16
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _EVERY = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'][^\s]*")
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _MAYBE = re.compile(r"hidden|style", re.I)
 _NAME = re.compile(r"[a-z]+")
+_OPEN = re.compile(r"<!--|<!\[CDATA\[")
+_DIGITS = re.compile(r"[^0-9]+")
 
 
 def is_hidden(attrs: str) -> bool:
@@ -58,14 +64,47 @@ def is_hidden(attrs: str) -> bool:
 class Block:
     __slots__ = ("text", "path", "links")
 
-    def __init__(self, text: str, path: tuple[str, ...], links: float):
+    def __init__(self, text: str, path: Path, links: float):
         self.text, self.path, self.links = text, path, links
 
 
+class Path:
+    """The names, classes, ids and roles of the open elements: hashed, all of them, in one row; the last three weigh more."""
+
+    __slots__ = ("last", "row", "below")
+
+    def __init__(self, last: tuple[str, ...] = (), row: np.ndarray | None = None):
+        self.last, self.row = last, np.zeros(PATH, np.float32) if row is None else row
+        self.below: dict[tuple[str, ...], Path] = {}
+
+    def to(self, words: tuple[str, ...]) -> Path:
+        got = self.below.get(words)
+        if got is None:
+            row = self.row.copy()
+            for w in words:
+                row[_slot(w)] += 0.6
+            got = self.below[words] = Path((self.last + words)[-3:], row)
+        return got
+
+    def vector(self) -> np.ndarray:
+        row = self.row.copy()
+        for w in self.last:
+            row[_slot(w)] += 0.4
+        return row
+
+
+@functools.lru_cache(20_000)
+def _slot(w: str) -> int:
+    return zlib.crc32(w.encode("utf-8", "replace")) % PATH
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, each with its text, its tag path and the share of its text inside links."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # element, path to it, unseen, block
+    top = Path()
+    stack: list[tuple[str, Path, bool, bool]] = []  # element, path to it, unseen, block
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name, and blocks, are
+    parents: list[int] = []
     pieces: list[str] = []
     linked = hidden = links = 0
 
@@ -74,7 +113,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, stack[-1][1] if stack else (), min(1.0, linked / len(text))))
+                out.append(Block(text, stack[-1][1] if stack else top, min(1.0, linked / len(text))))
             pieces, linked = [], 0
 
     def text(s: str) -> None:
@@ -91,44 +130,45 @@ def blocks(page: str) -> list[Block]:
             if block:
                 flush()
                 break
-        for x, _, unseen, _ in stack[n:]:
+        for x, _, unseen, block in reversed(stack[n:]):
             hidden -= unseen
             links -= x == "a"
+            places[x].pop()
+            if block:
+                parents.pop()
         del stack[n:]
 
     at, size = 0, len(page)
+    last = page.rfind(">") + 1  # beyond it there are no tags: an opened one isn't looked for again and again
+    unclosed = 0
     while at < size:
-        m = _TAG.search(page, at)
+        m = (_TAG if unclosed < UNCLOSED else _PLAIN).search(page, at, last) if at < last else None
         if m is None:
-            text(page[at:])
+            m = _OPEN.search(page, at)  # a comment without an end hides the rest
+            text(page[at : m.start()] if m else page[at:])
             break
         text(page[at : m.start()])
         at = m.end()
+        if at == last and _OPEN.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+            break
         name = m[2] or m[5]
         if not name:
             continue
+        unclosed += m[2] is None
         name, attrs, end = name.lower(), m[3] if m[2] else m[6], bool(m[1] or m[4])
         if end:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    close(n)
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
+            if places.get(name):
+                close(places[name][-1])
+            elif name in BLOCK:
+                flush()
             continue
         if name == "br":
             text(" ")
             continue
         if name in BLOCK:
             flush()
-            for n in range(len(stack) - 1, -1, -1):  # p ends at the next block; li, td and others at their like
-                x = stack[n][0]
-                if x == "p" or x in CLOSES.get(name, ()):
-                    close(n)
-                    break
-                if x in BLOCK:
-                    break
+            if parents and stack[parents[-1]][0] in ("p", *CLOSES.get(name, ())):  # p ends at the next block; li, td and others at their like
+                close(parents[-1])
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
         words = [name]
@@ -136,7 +176,10 @@ def blocks(page: str) -> list[Block]:
             for a in _ATTR.finditer(attrs):
                 words += [f"{a[1].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
         unseen = name in UNSEEN or bool(attrs and _MAYBE.search(attrs) and is_hidden(attrs))
-        stack.append((name, (*(stack[-1][1] if stack else ()), *words)[-40:], unseen, name in BLOCK))
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            parents.append(len(stack))
+        stack.append((name, (stack[-1][1] if stack else top).to(tuple(words)), unseen, name in BLOCK))
         hidden += unseen
         links += name == "a"
         if name in RAW:
@@ -146,20 +189,6 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    row = _paths.get(path)
-    if row is None:
-        row = np.zeros(PATH, np.float32)
-        for d, w in enumerate(reversed(path)):
-            row[zlib.crc32(w.encode("utf-8", "replace")) % PATH] += 1.0 if d < 3 else 0.6
-        if len(_paths) < 20_000:
-            _paths[path] = row
-    return row
-
-
 def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     """(blocks, features) of each page."""
     every = [b for p in pages for b in p]
@@ -172,14 +201,14 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
             counts = np.bincount(w.doc * WORDS + (w.hash % np.uint64(WORDS)).astype(np.int64), minlength=(hi - lo) * WORDS).reshape(-1, WORDS)
             x[lo:hi, PATH : PATH + WORDS] = 0.3 * counts / np.sqrt(n + 1.0)[:, None]
             x[lo:hi, PATH + WORDS + 5] = np.minimum(n, 20) / 20
-        x[:, :PATH] = [_path(b.path) for b in every]
+        x[:, :PATH] = [b.path.vector() for b in every]
         size = np.array([len(b.text) for b in every])
         at = PATH + WORDS
         x[:, at] = np.log1p(size) / 6
         x[:, at + 1] = [b.links for b in every]
         x[:, at + 4] = [b.text[-1] in ".!?:" for b in every]
-        x[:, at + 6] = [sum(map(str.isdigit, b.text[:40])) / min(len(b.text), 40) for b in every]
-        x[:, at + 7] = ["©" in b.text[:200] for b in every]
+        x[:, at + 6] = [len(_DIGITS.sub("", b.text)) / len(b.text) for b in every]
+        x[:, at + 7] = ["©" in b.text for b in every]
     out, lo = [], 0
     for p in pages:
         part = x[lo : lo + len(p)]
