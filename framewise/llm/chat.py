@@ -7,7 +7,7 @@ merged by array aggregation into one block:
 
 Inside roles and texts ``&``, ``<`` and ``[`` are written ``&amp;``, ``&lt;`` and ``&lsqb;``; so no text can hold a
 marker of this template or of another that begins with ``<`` or ``[`` (``</s>``, ``[INST]``), and a reader undoes it
-by reversing the three replacements. ``loss`` is the list of (start, end) code-point ranges of the assistants' texts in the formatted
+by reversing the replacements; in roles ``>`` is written ``&gt;`` too, so a role ends where its marker does. ``loss`` is the list of (start, end) code-point ranges of the assistants' texts in the formatted
 string, end exclusive, one for each turn.
 
 Defined cases: null text or role is empty; a null conv_id is a conversation of its own; ties and repeated rows are all kept, ordered by role
@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 from .common import table
 
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"))
+ROLE_ESCAPES = (*ESCAPES, (">", "&gt;"))
 NEXT, END, LEARN = "<|next|>", "<|end|>\n", "assistant"
 
 
-def escape(c: Column) -> Column:
-    for a, b in ESCAPES:
+def escape(c: Column, escapes: tuple = ESCAPES) -> Column:
+    for a, b in escapes:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for a, b in reversed(ESCAPES):
+def unescape(c: Column, escapes: tuple = ESCAPES) -> Column:
+    for a, b in reversed(escapes):
         c = F.replace(c, F.lit(b), F.lit(a))
     return c
 
@@ -54,7 +55,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     e = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     g = e.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     b = g.select("conv_id", F.size("turns").cast("long").alias("n_turns"), blocks(F.col("turns")).alias("blocks"))
-    esc = F.transform("blocks", lambda x: F.struct(escape(x["role"]).alias("role"), F.transform(x["texts"], escape).alias("texts")))
+    esc = F.transform("blocks", lambda x: F.struct(escape(x["role"], ROLE_ESCAPES).alias("role"), F.transform(x["texts"], lambda t: escape(t)).alias("texts")))
     b = b.select("conv_id", "n_turns", esc.alias("blocks"))
     # Pieces in order with whether the loss counts them; positions follow from their lengths.
     pieces = F.flatten(
@@ -81,7 +82,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 def read_back(formatted: Column) -> Column:
     """The turns (role, text) that a formatted conversation holds."""
     parts = F.filter(F.split(formatted, F.lit("<\\|end\\|>\n"), -1), lambda x: x != "")
-    one = lambda x: F.transform(F.split(F.substr(x, F.instr(x, "|>\n") + F.lit(3)), F.lit("<\\|next\\|>"), -1), lambda t: F.struct(unescape(F.substr(x, F.lit(3), F.instr(x, "|>\n") - F.lit(3))).alias("role"), unescape(t).alias("text")))
+    one = lambda x: F.transform(F.split(F.substr(x, F.instr(x, "|>\n") + F.lit(3)), F.lit("<\\|next\\|>"), -1), lambda t: F.struct(unescape(F.substr(x, F.lit(3), F.instr(x, "|>\n") - F.lit(3)), ROLE_ESCAPES).alias("role"), unescape(t).alias("text")))
     return F.flatten(F.transform(parts, one))
 
 
@@ -104,7 +105,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
   lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM c),
-e AS (SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) AS n, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) AS m FROM o)
+e AS (SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) AS n, length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;'), '>', '&gt;')) AS m FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n + CASE WHEN before = role THEN 8 ELSE m + 5 + 8 END) AS BIGINT) AS formatted_chars
