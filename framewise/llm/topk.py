@@ -6,7 +6,7 @@ Distances of candidates to the pivots are computed once per batch of candidates;
 their bounds and stops when the next bound is under its k-th score, so results are exact whatever the pivots.
 
 Pivots: ``PIVOTS`` vectors picked far apart (greedy, farthest first) from a bounded sample of ``SAMPLE`` vectors. Queries
-are broadcast in chunks of at most ``CHUNK`` vectors; each chunk is one pass over the candidates, which never move. A
+are broadcast in chunks of at most about ``CHUNK_BYTES``; each chunk is one pass over the candidates, which never move. A
 partition sends the best k of each query, and these are ranked by query.
 
 Defined cases: vectors null, empty, or holding null or non-finite components take no part; a shorter vector counts as padded by
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import ship, table
 
-K, EVERY, PIVOTS, SAMPLE, CHUNK, BATCH, TAKE = 20, 20, 32, 1000, 100_000, 8192, 512
+K, EVERY, PIVOTS, SAMPLE, BATCH, TAKE = 20, 20, 32, 1000, 8192, 512
+#: Bytes of a chunk of queries (8 a component), whatever the vectors' width.
+CHUNK_BYTES = 32 << 20
 
 
 def usable(e: Column) -> Column:
@@ -100,7 +102,7 @@ class Search:
                 able = able[bound[able] >= self.floor[i]]
 
 
-def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, chunk: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, its k best other rows."""
     spark = vectors.sparkSession
     ship(spark)
@@ -109,7 +111,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
     dim, queries = v.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     base = pick_pivots(matrix(sample["embedding"], dim) if sample.num_rows else np.zeros((0, dim)), pivots)
-    parts, n = None, max(1, -(-queries // chunk))
+    parts, n = None, max(1, -(-queries // (chunk or max(1, CHUNK_BYTES // (8 * dim)))))
     for i in range(n):
         q = v.where(F.col("vec_id") % every == 0).where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).orderBy("vec_id").toArrow()
         ids, x = (q["vec_id"].to_numpy(), matrix(q["embedding"], dim)) if q.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim)))
