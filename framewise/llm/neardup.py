@@ -17,7 +17,8 @@ leave the task. So no group emits all its pairs, and no cap is set. Centres with
 The verified overlap is sum(min) / sum(max) of the two multisets, of 32-bit shingle hashes.
 
 Defined cases: texts without words are equal only if they are the same text, null being the empty one; a null doc_id is
-in no class (null) and links nothing; rows of the same doc_id share its class; empty tables give empty results; other columns aren't looked at.
+in no class (null) and links nothing; rows of the same doc_id share its class, and if their texts differ each of
+them is compared and the classes of all are one; empty tables give empty results; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, durable, groups, mix, small_batches, table, utf8
+from .common import Words, durable, groups, mix, small_batches, table, tidy, utf8
 
 WORDS, SIMILAR, SLOTS, ROWS = 5, 0.8, 128, 4
 #: Ids (8 bytes each) that may be broadcast to pick documents for verification; more are joined by a shuffle.
@@ -120,28 +121,36 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b, short = band_keys(sig), (sig >> np.uint64(8)).astype(np.uint8)
             sketches += [x.tobytes() for x in short]
             for i in range(hi - lo):
-                a, z = w.first[i], w.first[i + 1]
-                data = w.hash[a:z].tobytes() if z > a else b"\0" + part[o[i] : o[i + 1]].tobytes()
-                keys.append(hashlib.blake2b(data, digest_size=16).digest())
-                bands.append(b[i] if z > a else b[i][:0])
+                keys.append(_key(w, i, part[o[i] : o[i + 1]]))
+                bands.append(b[i] if w.first[i + 1] > w.first[i] else b[i][:0])
         sizes = np.cumsum([0, *map(len, bands)])
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "key", "bands", "sketch"])
+    tidy()
+
+
+def _key(w: Words, i: int, text: np.ndarray) -> bytes:
+    """A digest of document i's words, or of its bytes if it has none."""
+    a, z = w.first[i], w.first[i + 1]
+    return hashlib.blake2b(w.hash[a:z].tobytes() if z > a else b"\0" + text.tobytes(), digest_size=16).digest()
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = utf8(batch.column(1))
-        out = []
+        out, keys = [], []
         for lo, hi in groups(off):
-            w = Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            w = Words(part, o)
+            keys += [_key(w, i, part[o[i] : o[i + 1]]) for i in range(hi - lo)]
             d, h = shingles(w)
             h = (h >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((h, d))
             d, h = d[order], h[order]
             cut = np.searchsorted(d, np.arange(hi - lo + 1))
             out += [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "g"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["id", "key", "g"])
+    tidy()
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -242,22 +251,24 @@ class Links:
         self.edges, self.labels = self._link()
 
     def _link(self) -> tuple[DataFrame, DataFrame]:
-        own = self.members.join(self.signed.where(F.size("bands") > 0), "key").where("id = doc_id").select("id", "bands", "sketch").dropDuplicates(["id"])
+        # A row for each text of an id: rows of one doc_id may hold several, and each keeps its bands, sketch and shingles.
+        own = self.members.join(self.signed.where(F.size("bands") > 0), "key").where("id = doc_id").select("id", "key", "bands", "sketch").dropDuplicates(["id", "key"])
         own = durable(own)
-        one = own.select("id", F.explode("bands").alias("bucket"))
+        one = own.select("id", F.explode("bands").alias("bucket")).distinct()
         shared = one.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
         many = durable(one.join(shared, "bucket"))  # bucket, id, n, c
         need = durable(many.select("id").distinct())
         n = need.count()
         few = F.broadcast(need) if n <= BROADCAST_IDS else need
-        self.sketches = durable(own.join(few, "id", "left_semi").select("id", "sketch"))
+        self.sketches = durable(own.join(few, "id", "left_semi").select("id", "key", "sketch"))
         picked = self.docs.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        self.grams = durable(picked.mapInArrow(_grams, "id long, g binary").dropDuplicates(["id"]))
+        self.grams = durable(picked.mapInArrow(_grams, "id long, key binary, g binary").dropDuplicates(["id", "key"]))
         known = self._verify(self._alike(many.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()))
-        labels = self._joined(need.withColumn("label", F.col("id")), known)
+        known = known.union(self._same_id())
+        labels = self._joined(need.union(known.select("a")).union(known.select("b")).distinct().withColumn("label", F.col("id")), known)
         now = durable(many.join(labels, "id"))
         split = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
-        whole = self.grams.join(own, "id")
+        whole = self.grams.join(own, ["id", "key"])
         now = now.join(split, "bucket", "left_semi").join(whole, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
         blocks = durable(now.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "label", "sketch", "bands", "g")).alias("m")))
         x, y = blocks.select("bucket", F.col("block").alias("i"), F.col("m").alias("x")), blocks.select("bucket", F.col("block").alias("j"), F.col("m").alias("y"))
@@ -266,6 +277,12 @@ class Links:
         small_batches(self.spark)
         return known.union(new).where(F.col("sim") >= self.similar), self._joined(labels, new)
 
+    def _same_id(self) -> DataFrame:
+        """Links between the representatives of several texts that rows of one doc_id hold."""
+        m = self.signed.select("doc_id", "key").join(self.members, "key").select("doc_id", "id").distinct()
+        m = durable(m.join(m.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z"), "doc_id"))
+        return m.where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("sim")).distinct()
+
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave room for the similarity."""
         a, b = self.sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), self.sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
@@ -276,7 +293,7 @@ class Links:
                 if batch.num_rows:
                     yield batch.select([0, 1]).filter(pa.array(agreement(_sketches(batch.column(2)), _sketches(batch.column(3))) >= least))
 
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
     def _joined(self, labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """labels with the sets that linked pairs connect made one; only the labels' own graph is contracted."""
@@ -300,16 +317,17 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs with their own columns: of each class the document of smallest id; of rows of that id one."""
+    """docs with their own columns: of each class the rows of smallest id, which are one class's texts; of several such rows one stays:
+    the first by all their columns as text. Rows without an id stay."""
     c = durable(classes(docs, similar))
-    gone = c.where("class_id <> doc_id").select("doc_id")
-    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, twice = durable(gone), durable(twice)
+    gone, rows = durable(c.where("class_id <> doc_id").select("doc_id")), docs.where("doc_id IS NOT NULL")
+    twice = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
     left = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
     if twice.isEmpty():
         return left
-    again = left.join(few(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = left.join(few(twice), "doc_id", "left_semi").select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("r"))
+    again = again.groupBy(F.col("r.doc_id").alias("id")).agg(F.min_by("r", F.to_json("r")).alias("r")).select("r.*")
     return left.join(few(twice), "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
