@@ -5,7 +5,7 @@ words of a benchmark item; an item of one to nine words is one window of that le
 pass without a shuffle: a rolling hash of each run of words is looked up in the set, and each hit is confirmed by
 comparing the words themselves.
 
-Size of the broadcast: the benchmark's text is measured first. Up to ``slice_bytes`` (default 32 MB) it is one
+Size of the broadcast: the benchmark's text is measured first. Up to ``slice_bytes`` (default 16 MB, an index of some 64 MB) it is one
 set; a larger one is dealt into slices of that size by a hash of the item id, each slice is one pass over the
 documents, and the passes' rows are merged by a row id. So no set beyond the bound is ever broadcast and
 nothing is dropped.
@@ -28,31 +28,50 @@ from pyspark.sql import functions as F
 from .common import Words, durable, groups, small_batches, utf8
 
 N = 10
-SLICE_BYTES = 32 << 20
+#: Text of a benchmark slice. An index holds some 4 bytes for each of its bytes (20 a window, and the words themselves).
+SLICE_BYTES = 16 << 20
 BITS = 20
 
 
 class Index:
-    """Windows of benchmark items: by length the sorted hashes behind a bitmap, and the exact words with their items."""
+    """Windows of benchmark items: by length their sorted hashes behind a bitmap, and of each where its words stand in the items' text."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int = N):
-        self.items: dict[bytes, set[str]] = {}
+        buf, off = utf8(pa.array([t for _, t in items], pa.string()))
+        self.names = [name for name, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        texts, base = [], 0
+        for lo, hi in groups(off):
+            w = Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            size = w.ends - w.starts + 1  # words one space apart
+            end = base + np.cumsum(size)
+            at = np.repeat(end - size - w.starts, size - 1) + np.repeat(w.starts, size - 1) + _within(size - 1)
+            text = np.full(int(size.sum()), 32, np.uint8)
+            text[at - base] = w.low[np.repeat(w.starts, size - 1) + _within(size - 1)]
+            texts.append(text)
+            words = np.diff(w.first)
+            for k in np.unique(np.minimum(words[words > 0], n)).tolist():
+                i, h = w.windows(k)
+                some = np.minimum(words[w.doc[i]], n) == k
+                i, h = i[some], h[some]
+                parts.setdefault(k, []).append((h, lo + w.doc[i], end[i] - size[i], end[i + k - 1] - 1))
+            base = int(end[-1]) if len(end) else base
+        self.text = np.concatenate([np.zeros(0, np.uint8), *texts])
         self.hashes: dict[int, np.ndarray] = {}
-        found: dict[int, list[np.ndarray]] = {}
-        for item, text in items:
-            buf, off = utf8(pa.array([text], pa.string()))
-            w = Words(buf, off)
-            k = min(n, len(w.hash))
-            if k:
-                at, h = w.windows(k)
-                found.setdefault(k, []).append(h)
-                for i in at:
-                    self.items.setdefault(w.text(i, k), set()).add(item)
-        self.bitmap = {}
-        for k, hs in found.items():
-            self.hashes[k] = np.unique(np.concatenate(hs))
+        self.where: dict[int, tuple[np.ndarray, ...]] = {}
+        self.bitmap: dict[int, np.ndarray] = {}
+        for k, found in parts.items():
+            h, doc, a, z = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(h, kind="stable")
+            self.hashes[k], self.where[k] = h[order], (doc[order].astype(np.int32), a[order].astype(np.int32), (z - a)[order].astype(np.int32))
             self.bitmap[k] = np.zeros(1 << BITS, bool)
-            self.bitmap[k][self.hashes[k] >> np.uint64(64 - BITS)] = True
+            self.bitmap[k][h >> np.uint64(64 - BITS)] = True
+
+    def items(self, k: int, h: np.uint64, words: bytes) -> set[str]:
+        """The items that hold these k words, whose window has hash h."""
+        doc, start, size = self.where[k]
+        lo, hi = np.searchsorted(self.hashes[k], h, "left"), np.searchsorted(self.hashes[k], h, "right")
+        return {self.names[doc[i]] for i in range(lo, hi) if size[i] == len(words) and self.text[start[i] : start[i] + size[i]].tobytes() == words}
 
     def hits(self, w: Words) -> Iterator[tuple[int, int, set[str]]]:
         """First word, length and items of each window that occurs."""
@@ -61,11 +80,19 @@ class Index:
             some = np.flatnonzero(self.bitmap[k][h >> np.uint64(64 - BITS)])
             at, h = at[some], h[some]
             near = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            for i in at[near]:
-                if items := self.items.get(w.text(i, k)):
-                    yield int(i), k, items
+            seen: dict[int, tuple[bytes, set[str]]] = {}
+            for i, x in zip(at[near].tolist(), h[near].tolist()):
+                words = w.text(i, k)
+                got = seen.get(x)
+                if got is None or got[0] != words:
+                    got = seen[x] = words, self.items(k, np.uint64(x), words)
+                if got[1]:
+                    yield i, k, got[1]
 
 
+def _within(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... size - 1 for each size, end to end."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
 def scan(docs: DataFrame, index: Index) -> DataFrame:
@@ -164,40 +191,40 @@ def _without(text: str | None, spans: list[int]) -> str | None:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", n: int = N, slice_bytes: int | None = None) -> DataFrame:
     """docs with their own columns, without the documents that hold a benchmark window (remove="documents"), or
-    with the hit words cut out of their texts (remove="spans"). One pass for each slice of the benchmark."""
-    small_batches(docs.sparkSession)
-    schema, cut = docs.schema, "_cut_by_decontaminate"
-    at, out = schema.fieldNames().index("text"), docs
-    if remove == "spans":
-        out = docs.withColumn(cut, F.array().cast("array<long>"))
+    with the hit words cut out of their texts (remove="spans"). One pass for each slice of the benchmark, all in one stage; only texts
+    go to Python, rows stay in the JVM."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    spans, found = F.array().cast("array<bigint>"), F.lit(False)
     for part in slices(bench, n_slices(bench, slice_bytes)):
-        held = docs.sparkSession.sparkContext.broadcast(Index(part, n))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, off = utf8(batch.column(at))
-                found: dict[int, list[int]] = {}
-                for lo, hi in groups(off):
-                    w = Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-                    for i, k, _ in held.value.hits(w):
-                        d = int(w.doc[i])
-                        found.setdefault(lo + d, []).extend((int(w.starts[i] - w.off[d]), int(w.ends[i + k - 1] - w.off[d])))
-                if remove == "documents":
-                    yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
-                else:
-                    c = batch.num_columns - 1
-                    spans = [x + found.get(i, []) for i, x in enumerate(batch.column(c).to_pylist())]
-                    yield batch.set_column(c, batch.schema.field(c), pa.array(spans, batch.schema.field(c).type))
-
-        out = out.mapInArrow(run, out.schema)
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_without(x, y) for x, y in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            done = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield done.select(list(range(batch.num_columns - 1)))
-
-    return out.mapInArrow(trim, schema) if remove == "spans" else out
+        held = spark.sparkContext.broadcast(Index(part, n))
+
+        def cut(texts: pa.Array, held=held) -> pa.Array:
+            return pa.array(_byte_spans(texts, held.value), pa.list_(pa.int64()))
+
+        if remove == "spans":
+            spans = F.concat(spans, F.arrow_udf(cut, "array<bigint>")(F.col("text")))
+        else:
+            found = found | (F.size(F.arrow_udf(cut, "array<bigint>")(F.col("text"))) > 0)
+    if remove != "spans":
+        return docs.where(~found)
+
+    def trim(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_without(x, y) for x, y in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    return docs.withColumn("text", F.arrow_udf(trim, "string")(F.col("text"), spans))
+
+
+def _byte_spans(texts: pa.Array, index: Index) -> list[list[int]]:
+    """Of each text the byte ranges of its hits, start and end in turn."""
+    buf, off = utf8(texts)
+    out: list[list[int]] = [[] for _ in range(len(off) - 1)]
+    for lo, hi in groups(off):
+        w = Words(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        for i, k, _ in index.hits(w):
+            d = int(w.doc[i])
+            out[lo + d] += (int(w.starts[i] - w.off[d]), int(w.ends[i + k - 1] - w.off[d]))
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
