@@ -20,7 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, groups, small_batches, table, utf8
+from .common import durable, groups, mix, small_batches, table, tidy, utf8
 
 BLOCK, LANES, PERCENTILE = 1024, 32, 95
 END = 2
 SHARD_IDS = 1 << 21
-#: Pieces whose ids a worker keeps (it starts again beyond, up to those of one batch more).
-CACHE_WORDS = 400_000
+#: Pieces whose ids a worker keeps, some 60 bytes each (it starts again beyond, up to those of one group more), and bytes of text of a group.
+CACHE_WORDS, GROUP = 1_000_000, 1 << 22
 MAGIC = b"FWP1"
 
 
@@ -147,12 +147,17 @@ _CUT[2, 1:5] = _CUT[1:5, 2] = True
 _CUT[1, 3:5] = _CUT[4, 1] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The lowest k bytes of a word of eight.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class WordTokenizer:
     """A lower-casing tokenizer that drops white space and splits letters, single digits and other signs apart,
     applied to each different piece once; pieces are cut only where one of its tokens ends whatever stands around.
 
+    A piece of up to 16 bytes is known by its first and last eight bytes and its size, which are all of it; a longer one by a
+    number that a dictionary gives its bytes. Both are compared in whole, so a clash of hashes costs time and no wrong id.
+
     ``__init__`` refuses files for which that doesn't hold on a probe text. With ``special``, texts that hold the string of an
     added token go through the library whole, which gives its id; without, the string is text like any other.
     """
@@ -164,17 +169,23 @@ class WordTokenizer:
         self.of = Tokenizer.from_file(path)
         self.of.encode_special_tokens = True
         self.added: list[tuple[str, bool]] = []
-        self.known: dict[str, int] = {}
-        self.flat, self.begin, self.size, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-        probe = "Ab cD\n 12x3 x's don't!? 'tis a'b !'s 1.5e é\tÉa! z-9'll \"we're\" <|endoftext|>"
+        self.numbers = 0
+        self._forget()
+        probe = "Ab cD\n 12x3 x's don't!? 'tis a'b !'s 1.5e é\tÉa! z-9'll \"we're\" <|endoftext|> Incomprehensibilities'll incomprehensibilitiez"
         if self.of.encode(probe, add_special_tokens=False).ids != self.encode(pa.array([probe]))[0].tolist():
             raise ValueError("this tokenizer doesn't split as assumed")
         if special:
             self.added = [(t.content, t.normalized) for t in self.of.get_added_tokens_decoder().values()]
 
-    @staticmethod
-    def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The pieces of the texts in buf, and where each text's pieces begin."""
+    def _forget(self) -> None:
+        """Known pieces: sorted hashes and the row of each; by row the key, and where its ids begin and how many they are."""
+        self.long: dict[bytes, int] = {}
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.key, self.begin, self.size = np.zeros((3, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, start, size and key (first eight bytes, last eight, size) of each piece, and where each text's pieces begin."""
         kind = _KIND[buf]
         cut = np.ones(len(buf), bool)
         if len(buf):
@@ -182,42 +193,58 @@ class WordTokenizer:
             cut[off[:-1][off[:-1] < len(buf)]] = True
         at = np.flatnonzero(cut)
         size = np.diff(np.append(at, len(buf)))
+        first = np.searchsorted(at, off)
         solid = kind[at] != 0
+        first = np.concatenate([[0], np.cumsum(solid)])[first]
         at, size = at[solid], size[solid]
-        data = _LOWER[buf[kind != 0]]
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data))
-        return pieces.dictionary_encode(), np.searchsorted(at, off)
-
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Where the ids of each word are kept."""
-        known = self.known
-        codes = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
-        fresh = np.flatnonzero(codes < 0).tolist()
-        if fresh and known and len(known) + len(fresh) > CACHE_WORDS:  # start again: what is frequent comes back soon
-            known.clear()
-            self.used = 0
-            return self._learn(words)
-        if fresh:
-            got = [e.ids for e in self.of.encode_batch_fast([words[i] for i in fresh], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))
-            n = len(known)
-            end = self.used + len(flat)
-            while end > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            while n + len(fresh) > len(self.size):
-                self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
-            self.flat[self.used : end] = flat
-            self.size[n : n + len(fresh)] = size
-            self.begin[n : n + len(fresh)] = self.used + np.cumsum(size) - size
-            self.used = end
-            codes[fresh] = np.arange(n, n + len(fresh))
-            known.update((words[i], n + j) for j, i in enumerate(fresh))
-        return codes
+        low = np.zeros(len(buf) + 16, np.uint8)
+        low[8:-8] = _LOWER[buf]
+        eight = np.ndarray((len(buf) + 9,), "<u8", low, strides=(1,))
+        few = np.minimum(size, 8)
+        key = np.stack([eight[at + 8] & _MASK[few], eight[at + size] & ~_MASK[8 - few], size.astype(np.uint64)])
+        for i in np.flatnonzero(size > 16).tolist():
+            b = low[at[i] + 8 : at[i] + 8 + size[i]].tobytes()
+            n = self.long.get(b)
+            if n is None:
+                n = self.long[b] = self.numbers
+                self.numbers += 1
+            key[0, i], key[1, i] = n, 0
+        return low[8:-8], at, size, key, first
+
+    def _learn(self, h: np.ndarray, key: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of several different pieces begin, and how many they are; words(i) is the text of piece i."""
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            row = self.row[at]
+            fresh = np.flatnonzero((self.hash[at] != h) | (self.key[:, row] != key).any(0))
+        else:
+            row, fresh = np.zeros(len(h), np.int32), np.arange(len(h))
+        if len(fresh) and len(self.size) and len(self.size) + len(fresh) > CACHE_WORDS:  # start again: what is frequent comes back soon
+            self._forget()
+            return self._learn(h, key, words)
+        if len(fresh):
+            sizes = []
+            for i in range(0, len(fresh), 4096):
+                got = [e.ids for e in self.of.encode_batch_fast([words(j) for j in fresh[i : i + 4096].tolist()], add_special_tokens=False)]
+                sizes += map(len, got)
+                flat = np.fromiter(chain.from_iterable(got), np.uint32)
+                while self.used + len(flat) > len(self.flat):
+                    self.flat = np.append(self.flat, np.zeros_like(self.flat))
+                self.flat[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+            size = np.array(sizes, np.int32)
+            row[fresh] = np.arange(len(self.size), len(self.size) + len(fresh))
+            self.begin = np.append(self.begin, self.used - size[::-1].cumsum(dtype=np.int64)[::-1])
+            self.size, self.key = np.append(self.size, size), np.append(self.key, key[:, fresh], axis=1)
+            order = fresh[np.argsort(h[fresh])]
+            to = np.searchsorted(self.hash, h[order])
+            self.hash, self.row = np.insert(self.hash, to, h[order]), np.insert(self.row, to, row[order])
+        return self.begin[row], self.size[row]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
         held = np.zeros(len(texts), bool)
         for s, normalized in self.added:
             held |= pc.fill_null(pc.match_substring(texts, s, ignore_case=normalized), False).to_numpy(zero_copy_only=False)
@@ -237,12 +264,22 @@ class WordTokenizer:
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         buf, off = utf8(texts)
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for lo, hi in groups(off, 1 << 20):
-            coded, first = self._pieces(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            at = self._learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
-            n = self.size[at]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            ids.append(self.flat[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])])
+        for lo, hi in groups(off, GROUP):
+            low, at, size, key, first = self._pieces(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            h = mix(key[0] * np.uint64(0x9E3779B97F4A7C15) + mix(key[1] + key[2] * np.uint64(0xC2B2AE3D27D4EB4F)))
+            coded = pa.array(h).dictionary_encode()
+            of = coded.indices.to_numpy()
+            one = np.zeros(len(coded.dictionary), np.int64)
+            one[of] = np.arange(len(of))
+            if (key[:, one][:, of] != key).any():  # two pieces with one hash: leave these texts to the library
+                got = [self.of.encode(low[off[d] - off[lo] : off[d + 1] - off[lo]].tobytes().decode(), add_special_tokens=False).ids for d in range(lo, hi)]
+                ids.append(np.array(list(chain.from_iterable(got)), np.uint32))
+                counts.append(np.array(list(map(len, got)), np.int64))
+                continue
+            begin, n = self._learn(h[one], key[:, one], lambda i, low=low, at=at, size=size, one=one: low[at[one[i]] : at[one[i]] + size[one[i]]].tobytes().decode())
+            begin, n = begin[of], n[of]
+            upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+            ids.append(self.flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])])
             counts.append(np.diff(upto[first]))
         return np.concatenate(ids), np.concatenate(counts)
 
@@ -256,6 +293,19 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together up to about size bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 SHARD = "part int, seq int, base long, n_docs long, n_ids long, payload binary"
 
 
@@ -277,14 +327,14 @@ def write_shards(docs: DataFrame, path: str, end: int = END, shard_ids: int = SH
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
         t = tokenizer(path)
-        for batch in batches:
-            got, n = t.encode(batch.column(1))
+        for table_ in _gathered(batches, GROUP):
+            got, n = t.encode(table_.column(1))
             with_end = np.empty(len(got) + len(n), np.uint32)
             last = np.cumsum(n + 1) - 1
             gap = np.ones(len(with_end), bool)
             gap[last] = False
             with_end[gap], with_end[last] = got, end
-            docs_ += batch.column(0).to_pylist()
+            docs_ += table_.column(0).to_pylist()
             lens.append(n + 1)
             ids.append(with_end)
             held += len(with_end)
@@ -292,6 +342,7 @@ def write_shards(docs: DataFrame, path: str, end: int = END, shard_ids: int = SH
                 yield flush()
         if docs_:
             yield flush()
+        tidy()
 
     d = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     return durable(d.mapInArrow(run, SHARD))
