@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table, uniform
+from .common import durable, table, uniform, unlike
 
 ROUNDS, CUT_EVERY, KEEP = 10, 5, 0.5
 OTHER = "other"
@@ -34,17 +34,17 @@ DIGITS = 9
 
 def n_tokens(text: Column) -> Column:
     """Runs of other characters between spaces, tabs and line ends."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[^ \\t\\n\\r]+", "x")
-    return F.length(F.translate(t, " \t\n\r", "")).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r]+", -1)
+    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
 def topic(text: Column) -> Column:
     """A coarse topic of a text by its form: listing, shouting, numeric or prose, from simple counts of signs."""
     t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    bars = n - F.length(F.translate(t, "|", ""))
-    digits = n - F.length(F.translate(t, "0123456789", ""))
-    shouts = n - F.length(F.translate(t, "!", ""))
+    n, size = F.length(t), F.octet_length(t)
+    bars = size - F.octet_length(F.replace(t, F.lit("|"), F.lit("")))
+    digits = size - F.octet_length(F.regexp_replace(t, "[0-9]+", ""))
+    shouts = size - F.octet_length(F.replace(t, F.lit("!"), F.lit("")))
     return F.when(bars * 50 > n, "listing").when(shouts * 50 > n, "shouting").when(digits * 50 > n, "numeric").otherwise("prose")
 
 
@@ -113,30 +113,46 @@ def calibrate(cells: DataFrame, marginals: dict[str, float | dict[str, float]],
     return durable(cells.select(*keys, "tokens", F.round("w", DIGITS).alias("share"), F.round(p, DIGITS).alias("probability")))
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens, the cell of each document."""
-    return docs.withColumns({"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic(F.col("text")), "_tokens": n_tokens(F.col("text"))})
+CELL = ("source", "lang", "topic", "tokens")
 
 
-def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP, bounded: bool = False) -> DataFrame:
-    """docs with their cell, _share, _probability and _sampled."""
+def with_cells(docs: DataFrame, names: list[str] | tuple[str, ...] = ("_source", "_lang", "_topic", "_tokens")) -> DataFrame:
+    """docs with the cell of each document and its tokens, in columns of the four names."""
+    source, lang, kind, tokens = names
+    return docs.withColumns({source: F.coalesce("source", F.lit("unknown")), lang: F.coalesce("lang", F.lit("unknown")), kind: topic(F.col("text")), tokens: n_tokens(F.col("text"))})
+
+
+def _weighed(d: DataFrame, names: list[str], marginals: dict | None, rounds: int, keep: float, bounded: bool) -> DataFrame:
+    """d, which has its cells in the first four of names, with share, probability and sampled in the others."""
     marginals = marginals or {"source": SOURCE_POWER, "lang": {**LANGS, OTHER: OTHER_LANGS}, "topic": TOPIC_POWER}
-    d = with_cells(docs)
-    cells = d.groupBy(*[F.col(f"_{k}").alias(k) for k in marginals]).agg(F.sum("_tokens").alias("tokens"))
+    own, (share, probability, sampled) = dict(zip(CELL, names)), names[4:]
+    cells = d.groupBy(*[F.col(own[k]).alias(k) for k in marginals]).agg(F.sum(own["tokens"]).alias("tokens"))
     fitted = calibrate(cells, marginals, rounds, keep=keep, bounded=bounded)
-    fitted = fitted.select(*[F.col(k).alias(f"_{k}") for k in marginals], F.col("share").alias("_share"), F.col("probability").alias("_probability"))
-    out = d.join(fitted, [f"_{k}" for k in marginals], "left")  # AQE splits a hot cell, or broadcasts cells of a small size
-    return out.withColumn("_sampled", uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix") < F.col("_probability"))
+    fitted = fitted.select(*[F.col(k).alias(own[k]) for k in marginals], F.col("share").alias(share), F.col("probability").alias(probability))
+    out = d.join(fitted, [own[k] for k in marginals], "left")  # AQE splits a hot cell, or broadcasts cells of a small size
+    return out.withColumn(sampled, uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mix") < F.col(probability))
+
+
+ADDED = (*CELL, "share", "probability", "sampled")
+
+
+def weigh(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP, bounded: bool = False) -> DataFrame:
+    """docs with their cell and _share, _probability and _sampled (behind more underscores where docs have such columns)."""
+    names = unlike(docs.columns, *ADDED)
+    return _weighed(with_cells(docs, names[:4]), names, marginals, rounds, keep, bounded)
 
 
 def sample(docs: DataFrame, marginals: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """The documents drawn, with their own columns."""
-    return weigh(docs, marginals, rounds, keep, bounded=True).where("_sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return weigh(docs, marginals, rounds, keep, bounded=True).where(F.col(unlike(docs.columns, *ADDED)[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return weigh(docs).select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
+    names = [f"_{c}" for c in ADDED]
+    docs = with_cells(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), names[:4])
+    narrow = durable(docs.select("doc_id", *names[:4]))  # texts are parsed once; cells and probabilities come from these numbers
+    w = _weighed(narrow, names, None, ROUNDS, KEEP, False)
+    return w.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 
 def sql(rounds: int = ROUNDS, keep: float = KEEP) -> str:
