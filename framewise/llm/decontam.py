@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, durable, groups, small_batches, utf8
@@ -197,15 +197,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     small_batches(spark)
     spans, found = F.array().cast("array<bigint>"), F.lit(False)
     for part in slices(bench, n_slices(bench, slice_bytes)):
-        held = spark.sparkContext.broadcast(Index(part, n))
-
-        def cut(texts: pa.Array, held=held) -> pa.Array:
-            return pa.array(_byte_spans(texts, held.value), pa.list_(pa.int64()))
-
+        here = _hit_ranges(spark.sparkContext.broadcast(Index(part, n)))
         if remove == "spans":
-            spans = F.concat(spans, F.arrow_udf(cut, "array<bigint>")(F.col("text")))
+            spans = F.concat(spans, here)
         else:
-            found = found | (F.size(F.arrow_udf(cut, "array<bigint>")(F.col("text"))) > 0)
+            found = found | (F.size(here) > 0)
     if remove != "spans":
         return docs.where(~found)
 
@@ -215,6 +211,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     return docs.withColumn("text", F.arrow_udf(trim, "string")(F.col("text"), spans))
 
 
+def _hit_ranges(held) -> Column:  # noqa: ANN001
+    def ranges(texts: pa.Array) -> pa.Array:
+        return pa.array(_byte_spans(texts, held.value), pa.list_(pa.int64()))
+
+    return F.arrow_udf(ranges, "array<bigint>")(F.col("text"))
+
+
 def _byte_spans(texts: pa.Array, index: Index) -> list[list[int]]:
     """Of each text the byte ranges of its hits, start and end in turn."""
     buf, off = utf8(texts)
