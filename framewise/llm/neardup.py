@@ -254,7 +254,7 @@ class Links:
         # A row for each text of an id: rows of one doc_id may hold several, and each keeps its bands, sketch and shingles.
         own = self.members.join(self.signed.where(F.size("bands") > 0), "key").where("id = doc_id").select("id", "key", "bands", "sketch").dropDuplicates(["id", "key"])
         own = durable(own)
-        one = own.select("id", F.explode("bands").alias("bucket")).distinct()
+        one = own.select("id", F.explode("bands").alias("bucket"))
         shared = one.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
         many = durable(one.join(shared, "bucket"))  # bucket, id, n, c
         need = durable(many.select("id").distinct())
@@ -264,8 +264,10 @@ class Links:
         picked = self.docs.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         self.grams = durable(picked.mapInArrow(_grams, "id long, key binary, g binary").dropDuplicates(["id", "key"]))
         known = self._verify(self._alike(many.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()))
-        known = known.union(self._same_id())
-        labels = self._joined(need.union(known.select("a")).union(known.select("b")).distinct().withColumn("label", F.col("id")), known)
+        nodes, same = need, self._same_id()
+        if same is not None:
+            known, nodes = known.union(same), need.union(same.select("a")).union(same.select("b")).distinct()
+        labels = self._joined(nodes.withColumn("label", F.col("id")), known)
         now = durable(many.join(labels, "id"))
         split = now.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
         whole = self.grams.join(own, ["id", "key"])
@@ -277,11 +279,14 @@ class Links:
         small_batches(self.spark)
         return known.union(new).where(F.col("sim") >= self.similar), self._joined(labels, new)
 
-    def _same_id(self) -> DataFrame:
-        """Links between the representatives of several texts that rows of one doc_id hold."""
-        m = self.signed.select("doc_id", "key").join(self.members, "key").select("doc_id", "id").distinct()
-        m = durable(m.join(m.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z"), "doc_id"))
-        return m.where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("sim")).distinct()
+    def _same_id(self) -> DataFrame | None:
+        """Links between the representatives of several texts that rows of one doc_id hold; None if each id has one text."""
+        several = durable(self.signed.groupBy("doc_id").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p <> q").select("doc_id"))
+        if several.isEmpty():
+            return None
+        m = durable(self.signed.select("doc_id", "key").join(several, "doc_id").join(self.members, "key").select("doc_id", "id").distinct())
+        m = m.join(m.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id")
+        return durable(m.where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("sim")).distinct())
 
     def _alike(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave room for the similarity."""
@@ -293,7 +298,7 @@ class Links:
                 if batch.num_rows:
                     yield batch.select([0, 1]).filter(pa.array(agreement(_sketches(batch.column(2)), _sketches(batch.column(3))) >= least))
 
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def _joined(self, labels: DataFrame, pairs: DataFrame) -> DataFrame:
         """labels with the sets that linked pairs connect made one; only the labels' own graph is contracted."""
