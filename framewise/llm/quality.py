@@ -5,8 +5,8 @@ learned filters of 8 bytes at a stride of 4 slide over it, and each filter's max
 reads the maxima of a chunk; its outputs are averaged over all chunks of the document and give one probability.
 Averages keep scores alike for short and long documents.
 
-The network is fitted on the driver with a bounded sample: ``PER_LABEL`` labelled documents of each label, of each a stretch of
-``WINDOW`` characters, picked by hashes; loss weights restore the labels' true shares, so scores are probabilities. Scoring reads
+The network is fitted on the driver with a bounded sample: ``PER_LABEL`` labelled whole documents of each label,
+picked by hashes; a step of training reads ``SEEN`` chunks of each of ``DOCS`` documents, drawn anew from all their chunks; loss weights restore the labels' true shares, so scores are probabilities. Scoring reads
 every byte of every document, in one pass without a shuffle.
 
 Defined cases: null text is scored as the empty one; without labels of both kinds the score is the share of label 1
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, groups, small_batches, table, utf8
-from .nets import adam, chunks, id_crc, rows_of, sample_ids, window
+from .nets import adam, chunks, id_crc, rows_of, sample_rows
 
 CHUNK, STRIDE, TAPS, STEP, EMBED, FILTERS, HIDDEN = 256, 224, 8, 4, 8, 64, 16
-PER_LABEL, WINDOW, STEPS, DOCS, THRESHOLD = 1500, 2000, 600, 32, 0.3
+PER_LABEL, STEPS, DOCS, SEEN, THRESHOLD = 1500, 600, 32, 10, 0.3
 
 
 class Net:
@@ -104,26 +104,26 @@ def train(texts: list[str], y: np.ndarray, prior: dict[int, float], steps: int =
         return net
     buf, off = utf8(pa.array(texts, pa.string()))
     start, length, doc = chunks(off, CHUNK, STRIDE)
-    x = rows_of(buf, start, length, CHUNK)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     r, state = np.random.default_rng(seed), {}
     by = [np.flatnonzero(y == k) for k in (0, 1)]
     for t in range(steps):
         pick = np.concatenate([r.choice(b, DOCS // 2) for b in by])
-        rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in pick])
-        of = np.repeat(np.arange(len(pick)), first[pick + 1] - first[pick])
+        n = first[pick + 1] - first[pick]
+        rows = np.concatenate([first[d] + (np.arange(k) if k <= SEEN else r.choice(k, SEEN, replace=False)) for d, k in zip(pick, n)])
+        of = np.repeat(np.arange(len(pick)), np.minimum(n, SEEN))
         weight = np.where(y[pick] == 1, prior[1], prior[0]).astype(np.float32)
         weight = weight / weight.max()
-        net.step(x[rows], of, y[pick].astype(np.float32), weight, state, 0.01 * (1 - t / steps) + 0.0005)
+        net.step(rows_of(buf, start[rows], length[rows], CHUNK), of, y[pick].astype(np.float32), weight, state, 0.01 * (1 - t / steps) + 0.0005)
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, steps: int = STEPS) -> Net:
-    """Fit on a bounded sample of documents outside the held-out fifth."""
-    lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").where(id_crc() % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids, counts = sample_ids(lab, "quality", per_label, 2)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", window(F.col("text"), WINDOW).alias("t"))
-    rows = sorted(map(tuple, rows.limit(4 * per_label).collect()))
+    """Fit on a bounded sample of whole documents outside the held-out fifth."""
+    lab = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).where(id_crc() % 5 != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    ids, counts = sample_rows(lab, "quality", per_label)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("t").alias("t"))  # one of the texts of an id
+    rows = sorted(map(tuple, rows.collect()))
     total = sum(counts.values())
     return train([t for _, _, t in rows], np.array([q for _, q, _ in rows], int), {int(k): n / total for k, n in counts.items()}, steps)
 
@@ -147,16 +147,15 @@ def _scores(net: Net, texts: pa.Array) -> np.ndarray:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with their own columns, without those scored under threshold; labelled: the documents to fit on, if others."""
+    """docs with their own columns, without those scored under threshold; labelled: the documents to fit on, if others.
+    Only texts go to Python, and only a score comes back for each; rows stay in the JVM."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs if labelled is None else labelled, labels))
-    at = docs.schema.fieldNames().index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(held.value, batch.column(at)) >= threshold))
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(held.value, texts), pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(scores, "double")(F.col("text")) >= threshold)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
