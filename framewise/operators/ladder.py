@@ -69,21 +69,38 @@ def envelope(curve: DataFrame, points: int = 200) -> DataFrame:
 RUNGS = "title long, rung int, rate double, height int, quality double"
 
 
-def select_rungs(hull: DataFrame, step: float = 6.0, least: float = 1.5, most: float = 2.5, target: float = 95.0, min_rate: float = 0.0, min_quality: float = 0.0, rungs: int = 8) -> DataFrame:
-    """Descend from the first point that reaches the target: each next rung is ``step`` lower in quality, but at a ratio of bitrates within
-    [least, most], with no greater height. Sequential by nature, on a hull of a few hundred points a title."""
+def select_rungs(hull: DataFrame, step: float = 6.0, least: float = 1.5, most: float = 2.5, target: float = 95.0, min_rate: float = 145_000.0, min_quality: float = 0.0, rungs: int = 8, max_rate: float = 0.0) -> DataFrame:
+    """From the cheapest point of the hull that reaches the target (its best point if none does), each next rung takes the least rate whose
+    quality is ``step`` lower, read on the hull's line over ln(rate) and kept within the ratios; its height and quality are those of the hull's nearest
+    point, with no greater height than the rung above. Sequential by nature, on a hull of a few hundred points a title."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         h = pdf.sort_values("rate")
-        rate, quality, height = h["rate"].to_numpy(), h["quality"].to_numpy(), h["height"].to_numpy()
-        at = int(np.argmax(quality >= target)) if (quality >= target).any() else int(quality.argmax())
-        out = []
-        while len(out) < rungs and rate[at] >= min_rate and quality[at] >= min_quality:
-            out.append((int(h["title"].iloc[0]), len(out), float(rate[at]), int(height[at]), float(quality[at])))
-            able = np.flatnonzero((rate <= rate[at] / least) & (rate >= rate[at] / most) & (height <= height[at]))
-            if not len(able):
-                break
-            at = int(able[np.abs(quality[able] - (quality[at] - step)).argmin()])
+        rate, quality, height = h["rate"].to_numpy(float), h["quality"].to_numpy(float), h["height"].to_numpy()
+        log = np.log(rate)
+        out: list[tuple[int, int, float, int, float]] = []
+
+        def near(r: float) -> int | None:
+            return int(np.abs(log - np.log(r)).argmin()) if r >= 0.999 * rate[0] else None
+
+        def reaching(q: float) -> float:
+            i = int(np.argmax(quality >= q)) if (quality >= q).any() else len(rate) - 1
+            if i == 0 or quality[i] < q:
+                return float(rate[i])
+            return float(np.exp(np.interp(q, quality[i - 1 : i + 1], log[i - 1 : i + 1])))
+
+        at: int | None = int(np.argmax(quality >= target)) if (quality >= target).any() else len(rate) - 1
+        r = float(rate[at])
+        if max_rate and r > max_rate:
+            at, r = near(max_rate), max_rate
+        top = int(height.max())
+        while at is not None and len(out) < rungs:
+            top = min(top, int(height[at]))
+            out.append((int(h["title"].iloc[0]), len(out), r, top, float(quality[at])))
+            r = float(np.rint(min(max(reaching(quality[at] - step), r / most), r / least)))
+            at = near(r) if r >= min_rate else None
+            if at is not None and quality[at] < min_quality:
+                at = None
         return pd.DataFrame(out, columns=["title", "rung", "rate", "height", "quality"])
 
     ship(hull.sparkSession)

@@ -467,7 +467,9 @@ def bitstream_report(spark, sf) -> DataFrame:
     p = t.packets(spark, sf)
     avg = w_average(p)
     peak = seq.peak_bitrate(p, t.DAY).select("video_id", F.col("bitrate").alias("peak"))
-    return avg.join(peak, "video_id").join(gops(p).select("video_id", F.col("longest").alias("max_interval_ns")), "video_id", "left")
+    keys = gops(p).select("video_id", (F.col("longest") / fn.NS).alias("max_interval"), F.col("keys").alias("keyframes"))
+    j = avg.join(peak, "video_id").join(keys, "video_id", "left")
+    return j.select("video_id", (F.col("peak") / F.nullif(F.col("average"), F.lit(0))).alias("peak_to_average"), "max_interval", "keyframes")
 
 
 def w_average(p: DataFrame) -> DataFrame:
@@ -475,23 +477,22 @@ def w_average(p: DataFrame) -> DataFrame:
     return p.groupBy("video_id").agg(F.round(F.sum("size") * 8 / (length / fn.NS)).cast("long").alias("average"))
 
 
-FOUND = P + """, av AS (SELECT video_id, CAST(round(sum(size) * 8 / ((max(pts) + 40000000 - min(pts)) / 1e9)) AS BIGINT) AS average FROM p GROUP BY 1),
+FOUND = P + f""", av AS (SELECT video_id, CAST(round(sum(size) * 8 / ((max(pts) + 40000000 - min(pts)) / 1e9)) AS BIGINT) AS average FROM p GROUP BY 1),
 wi AS (SELECT *, sum(size) OVER (PARTITION BY video_id ORDER BY pts RANGE BETWEEN CURRENT ROW AND 86399999999999 FOLLOWING) AS bytes FROM p), pk AS (SELECT video_id, CAST(round(max(bytes) * 8 / 86400.0) AS BIGINT) AS peak FROM wi GROUP BY 1),
-kg AS (SELECT video_id, pts - lag(pts) OVER (PARTITION BY video_id ORDER BY pts, pos) AS d FROM p WHERE key), ki AS (SELECT video_id, coalesce(max(d), 0) AS longest FROM kg GROUP BY 1),
-re AS (SELECT video_id, peak / nullif(average, 0) AS ratio, longest FROM av JOIN pk USING (video_id) LEFT JOIN ki USING (video_id)),
-fi AS (SELECT video_id, 1 AS seq, 'warn' AS level, 'peak-to-average' AS code, 'bitstream' AS topic, round(ratio, 6) AS value, 2.0::DOUBLE AS "limit" FROM re WHERE ratio > 2
-UNION ALL SELECT video_id, 2, 'info', 'long-gop', 'bitstream', longest / 1e9, 4.0 FROM re WHERE longest > 4000000000 UNION ALL SELECT video_id, 3, 'ok', 'even-rate', 'bitstream', round(ratio, 6), 2.0 FROM re WHERE ratio <= 2)"""
+kg AS (SELECT video_id, pts - lag(pts) OVER (PARTITION BY video_id ORDER BY pts, pos) AS d FROM p WHERE key), ki AS (SELECT video_id, coalesce(max(d), 0) / 1e9 AS max_interval, count(*) AS keyframes FROM kg GROUP BY 1),
+re AS (SELECT video_id, peak / nullif(average, 0) AS peak_to_average, max_interval, keyframes FROM av JOIN pk USING (video_id) LEFT JOIN ki USING (video_id)),
+fi AS ({findings.found_sql("re", findings.BITSTREAM)})"""
 
 
 @query("findings_bitstream", f"WITH {FOUND} SELECT * FROM fi")
 def found(spark, sf):
-    return findings.ranked(findings.bitstream_rules(bitstream_report(spark, sf)))
+    return findings.ranked(findings.found(bitstream_report(spark, sf), findings.BITSTREAM))
 
 
 @query("a38_verdict", f"WITH {FOUND} SELECT re.video_id, CASE WHEN bool_or(level = 'warn') THEN 'attention' ELSE 'pass' END AS verdict FROM re LEFT JOIN fi USING (video_id) GROUP BY 1")
 def a38(spark, sf):
     r = bitstream_report(spark, sf)
-    return findings.verdict(r, findings.bitstream_rules(r))
+    return findings.verdict(r, findings.found(r, findings.BITSTREAM))
 
 
 @query("s4_packet_lines", f"WITH {P} SELECT video_id, pos, pts, pts AS dts, dur, size, key FROM p")

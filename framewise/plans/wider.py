@@ -337,29 +337,46 @@ def m37(spark, sf):
 
 
 # ---- rules ----------------------------------------------------------------------------------------------------
-@query("findings_audio", f"""WITH {S}, c AS (SELECT video_id, avg(l) / 50 AS dc, max(abs(l)) AS peak, avg(CASE WHEN abs(l) < 25 THEN 1.0 ELSE 0 END) AS silent, sum(l * r) / sqrt(sum(l * l) * sum(r * r)) AS corr FROM s GROUP BY 1)
-SELECT video_id, 1 AS seq, 'warn' AS level, 'silent-track' AS code, 'audio' AS topic, round(silent, 6) AS value, 1.0::DOUBLE AS "limit" FROM c WHERE silent >= 1 UNION ALL SELECT video_id, 2, 'warn', 'dc-offset', 'audio', round(abs(dc), 6), 0.00316 FROM c WHERE silent < 1 AND abs(dc) > 0.00316
-UNION ALL SELECT video_id, 3, 'warn', 'inverted-polarity', 'audio', round(corr, 6), -0.95 FROM c WHERE silent < 1 AND corr < -0.95 UNION ALL SELECT video_id, 4, 'warn', 'clipping', 'audio', peak, 49.0 FROM c WHERE silent < 1 AND peak >= 49""")
-def found_audio(spark, sf):
-    l, r = F.col("left"), F.col("right")  # noqa: E741
-    c = t.steps(spark, sf).groupBy("video_id").agg((F.avg(l) / 50).alias("dc"), F.max(F.abs(l)).alias("peak"), F.avg((F.abs(l) < 25).cast("double")).alias("silent"), (F.sum(l * r) / F.sqrt(F.sum(l * l) * F.sum(r * r))).alias("corr"))
-    return findings.ranked(findings.audio_rules(c, 49.0))
-
-
-@query("findings_hdr", "WITH h AS (SELECT l_orderkey * 8 + l_linenumber AS video_id, l_returnflag <> 'N' AS bt2020, l_linenumber + 6 AS bits, l_linestatus = 'F' AS mastering, l_quantity * 30 AS declared, l_quantity * 30 * (0.7 + l_discount * 8) AS measured FROM lineitem) SELECT video_id, 1 AS seq, 'warn' AS level, 'hdr-primaries' AS code, 'hdr' AS topic, 0.0::DOUBLE AS value, 1.0::DOUBLE AS \"limit\" FROM h WHERE NOT bt2020 UNION ALL SELECT video_id, 2, 'warn', 'hdr-bit-depth', 'hdr', bits, 10 FROM h WHERE bits < 10 UNION ALL SELECT video_id, 3, 'info', 'no-mastering', 'hdr', 0, 1 FROM h WHERE NOT mastering UNION ALL SELECT video_id, 4, 'warn', 'brighter-than-cll', 'hdr', round(measured, 4), declared FROM h WHERE round(measured - declared * 1.25, 6) > 0")
-def found_hdr(spark, sf):
-    li, q = t.table(spark, sf, "lineitem"), F.col("l_quantity").cast("double")
-    h = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("video_id"), (F.col("l_returnflag") != "N").alias("bt2020"), (F.col("l_linenumber") + 6).alias("bits"), (F.col("l_linestatus") == "F").alias("mastering"), (q * 30).alias("declared"), (q * 30 * (F.lit(0.7) + F.col("l_discount") * 8)).alias("measured"))
-    return findings.hdr_rules(h)
-
-
-@query("findings_comparison", f"""WITH {P}, c AS (SELECT video_id, avg(value) AS mean, min(value) AS worst, avg(CASE WHEN value < 10 THEN 1.0 ELSE 0 END) AS drops, avg(CASE WHEN size % 9 = 0 THEN 1.0 ELSE 0 END) AS banded FROM p GROUP BY 1)
-SELECT video_id, 1 AS seq, 'warn' AS level, 'worst-frame' AS code, 'comparison' AS topic, worst AS value, round(mean - 15, 6) AS "limit" FROM c WHERE worst < mean - 15 UNION ALL SELECT video_id, 2, 'warn', 'drops', 'comparison', round(drops, 6), 0.05 FROM c WHERE drops >= 0.05
-UNION ALL SELECT video_id, 3, 'warn', 'banding', 'comparison', round(banded, 6), 0.0 FROM c WHERE banded > 0 UNION ALL SELECT video_id, 4, 'ok', 'no-banding', 'comparison', 0.0, 0.0 FROM c WHERE banded = 0""")
-def found_comparison(spark, sf):
-    v = F.col("value")
-    c = t.packets(spark, sf).groupBy("video_id").agg(F.avg(v).alias("mean"), F.min(v).alias("worst"), F.avg((v < 10).cast("double")).alias("drops"), F.avg((F.col("size") % 9 == 0).cast("double")).alias("banded"))
-    return findings.comparison_rules(c)
+Q = "CAST(l_quantity AS DOUBLE)"
+REPORTS = {  # lineitem's rows as report rows: a column for each a rule reads
+    "video": f"l_orderkey * 8 + l_linenumber AS video_id, l_linenumber % 3 AS black, l_linenumber % 2 AS frozen, l_returnflag = 'R' AS letterbox, l_quantity > 45 AS pillarbox, CAST(l_discount AS DOUBLE) / 5 AS out_of_range, CASE WHEN l_linestatus = 'F' THEN l_linenumber ELSE 0 END AS shaky, {Q} / 8 AS worst_shake, CASE l_linenumber % 4 WHEN 0 THEN 'tt' WHEN 1 THEN '' ELSE 'progressive' END AS field_order",
+    "audio": f"l_orderkey * 8 + l_linenumber AS video_id, CASE l_linenumber % 4 WHEN 0 THEN 22050 WHEN 1 THEN 44100 ELSE 48000 END AS sample_rate, CASE WHEN l_linenumber = 2 THEN 8 ELSE 24 END AS bit_depth, l_linenumber = 3 AS layout_guessed, CASE WHEN l_linenumber = 5 THEN 0.021 ELSE 0.0 END AS start_offset, CASE WHEN l_quantity > 48 THEN -120.0 ELSE -22 - round({Q}) / 16 END AS integrated, -80.0 AS sample_peak, -23.0 AS target, 0.5 AS tolerance, -1.0 AS max_true_peak, -3.0 + {Q} / 16 AS true_peak, CASE WHEN l_returnflag = 'A' THEN 1.5 ELSE 0.0 END AS lead_silence, CASE WHEN l_returnflag = 'R' THEN 2.5 ELSE 0.0 END AS trail_silence, l_linenumber % 2 AS silences",
+    "channel": f"l_orderkey * 8 + l_linenumber AS video_id, CASE l_linenumber WHEN 1 THEN 'FL' WHEN 2 THEN 'FR' WHEN 3 THEN 'FC' WHEN 4 THEN 'LFE' WHEN 5 THEN 'C02' ELSE 'BL' END AS channel, l_returnflag = 'A' AS muted, l_linestatus = 'F' AS surround, l_linenumber % 2 AS silences, (CAST(l_discount AS DOUBLE) - 0.05) / 10 AS dc, CASE WHEN l_quantity > 40 THEN 3 ELSE 0 END AS clipped",
+    "pair": f"l_orderkey * 8 + l_linenumber AS video_id, {Q} / 25 - 1 AS correlation, l_linenumber % 2 AS out_of_phase, l_quantity = 50 AS identical, -90.0 AS difference",
+    "hdr": f"l_orderkey * 8 + l_linenumber AS video_id, CASE WHEN l_linenumber = 7 THEN 8 ELSE 0 END AS dolby_profile, l_linenumber = 6 AS hdr10_plus, l_linenumber < 6 AS hdr, CASE WHEN l_returnflag = 'A' THEN 'bt709' ELSE 'bt2020' END AS primaries, CASE WHEN l_returnflag = 'R' THEN 'bt709' ELSE 'bt2020nc' END AS matrix, l_linenumber + 6 AS bits, CASE WHEN l_linenumber = 2 THEN 'pc' ELSE 'tv' END AS colour_range, CASE WHEN l_linenumber = 1 THEN 'arib-std-b67' ELSE 'smpte2084' END AS transfer, l_linestatus = 'F' AS mastering, CASE WHEN l_quantity < 5 THEN 0 ELSE 30 * {Q} END AS max_cll, CASE WHEN l_quantity < 7 THEN 0 ELSE 5 * {Q} END AS max_fall, 30 * {Q} * (0.7 + 8 * CAST(l_discount AS DOUBLE)) AS robust_cll, 32 * {Q} * (0.7 + 8 * CAST(l_discount AS DOUBLE)) AS measured_cll, 5 * {Q} * (0.8 + 6 * CAST(l_tax AS DOUBLE)) AS measured_fall",
+    "comparison": f"l_orderkey * 8 + l_linenumber AS video_id, CASE WHEN l_linenumber = 1 THEN 'cpu' ELSE '' END AS fallback, CASE WHEN l_linenumber = 2 THEN '5%' ELSE '' END AS clamped, {Q} + 40 AS worst, 80.0 AS mean, CAST(l_discount AS DOUBLE) AS drops, 70.0 AS drop_threshold, l_linenumber % 3 AS banded_segments, l_linestatus = 'F' AS sampled",
+    "ladder": f"l_orderkey * 8 + l_linenumber AS video_id, l_linenumber % 4 AS rungs, {Q} + 48 AS top_quality, 95.0 AS target, CASE WHEN l_returnflag = 'A' THEN 'h264' ELSE 'av1' END AS codec, round(CAST(l_extendedprice AS DOUBLE)) * 150 AS top_rate, l_linestatus = 'F' AS verified, CAST(l_discount AS DOUBLE) * 50 AS worst_gap, 6.0 AS step",
+    "rung": f"l_orderkey * 8 + l_linenumber AS video_id, l_linenumber = 7 AS extrapolated, {Q} / 50 - 0.5 AS per_shot_gain, CAST(l_tax AS DOUBLE) AS banded, CAST(l_discount AS DOUBLE) * 10 AS inherited",
+    "title": f"l_orderkey * 8 + l_linenumber AS video_id, {Q} / 5 + 85 AS quality, 90.0 AS program",
+}
+RULES = {"video": findings.VIDEO, "audio": findings.AUDIO, "channel": findings.CHANNEL, "pair": findings.PAIR, "hdr": findings.HDR, "comparison": findings.COMPARISON, "ladder": findings.LADDER, "rung": findings.RUNG, "title": findings.TITLE}
+
+
+def _findings_query(kind: str) -> None:
+    @query(f"findings_{kind}", f"WITH re AS (SELECT {REPORTS[kind]} FROM lineitem) {findings.found_sql('re', RULES[kind])}")
+    def run(spark, sf):
+        return findings.found(t.table(spark, sf, "lineitem").selectExpr(*_columns(REPORTS[kind])), RULES[kind])
+
+
+def _columns(text: str) -> list[str]:
+    """The expressions of a select list."""
+    out, depth, begin = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(text[begin:i])
+            begin = i + 1
+    return [*out, text[begin:]]
+
+
+for _kind in REPORTS:
+    _findings_query(_kind)
+
+
+@query("findings_program_even", "SELECT l_orderkey AS program_id, 'ok' AS level, 'program-even' AS code, round(max(abs(CAST(l_quantity AS DOUBLE) / 5 - 5)), 6) AS value, CAST(2 AS DOUBLE) AS \"limit\" FROM lineitem GROUP BY 1 HAVING count(*) > 1 AND max(abs(CAST(l_quantity AS DOUBLE) / 5 - 5)) <= 2")
+def found_even(spark, sf):
+    q = F.col("l_quantity").cast("double") / 5
+    return findings.program_even(t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("program_id"), q.alias("quality"), F.lit(5.0).alias("program")))
 
 
 @query("findings_codecs", "WITH r AS (SELECT o_custkey AS video_id, o_orderstatus AS codec, avg(o_totalprice) AS rate FROM orders GROUP BY ALL), b AS (SELECT video_id, rate AS base FROM r WHERE codec = 'F'), g AS (SELECT video_id, codec, round(rate / base - 1, 6) AS gap FROM r JOIN b USING (video_id) WHERE codec <> 'F') SELECT video_id, codec, CASE WHEN gap < -0.03 THEN 'saving' WHEN gap > 0.03 THEN 'costlier' ELSE 'even' END AS code, gap FROM g")
