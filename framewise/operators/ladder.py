@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,27 +14,44 @@ from ..shipping import ship
 
 
 def isotonic(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Monotone fit of y over x: neighbours that fall are pooled to their mean, taken from prefix sums. Linear in a group's points, which meet in one task."""
+    """Monotone fit of y over x: neighbours that fall are pooled to their mean, taken from prefix sums. Groups lie sorted in their partitions and
+    stream through, many in a batch; linear in the points, and only one group's points are held."""
     p = points.select(*by, x, F.col(y).cast("double").alias(y))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([x, y])
-        v = pdf[y].to_numpy(float)
-        s = np.cumsum(v)
-        begin, mean = [], []
-        for i in range(len(v)):
-            j, m = i, v[i]
-            while begin and mean[-1] >= m:
-                j = begin.pop()
-                mean.pop()
-                m = (s[i] - (s[j] - v[j])) / (i - j + 1)
-            begin.append(j)
-            mean.append(m)
-        return pdf.assign(fitted=np.repeat(mean, np.diff([*begin, len(v)])))
+    def pooled(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, out = pdf[y].to_numpy(float), []
+        for a, z in zip(starts, [*starts[1:], len(v)]):
+            begin: list[int] = []
+            total: list[float] = []
+            ends: list[int] = []
+            for i in range(a, z):
+                j, t = i, v[i]
+                while begin and total[-1] * (i + 1 - j) >= t * (ends[-1] - begin[-1]):
+                    j, t = begin.pop(), t + total.pop()
+                    ends.pop()
+                begin.append(j)
+                total.append(t)
+                ends.append(i + 1)
+            for j, t, e in zip(begin, total, ends):
+                out += [t / (e - j)] * (e - j)
+        return pdf.assign(fitted=np.array(out, float))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if held is not None:
+                b = pd.concat([held, b], ignore_index=True)
+            if len(b):
+                starts = np.flatnonzero((b[by] != b[by].shift()).any(axis=1).to_numpy())
+                held = b.iloc[starts[-1] :]
+                if starts[-1]:
+                    yield pooled(b.iloc[: starts[-1]], starts[:-1])
+        if held is not None:
+            yield pooled(held, np.zeros(1, int))
 
     ship(points.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields)
-    return p.groupBy(*by).applyInPandas(fit, fields + ", fitted double")
+    return p.repartition(*by).sortWithinPartitions(*by, x, y).mapInPandas(fit, fields + ", fitted double")
 
 
 def curves(probes: DataFrame) -> DataFrame:
@@ -164,18 +184,31 @@ def ridge(x: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray | Non
 
 
 def train_models(rows: DataFrame, features: list[str], target: str, by: list[str], penalty: float = 0.3) -> DataFrame:
-    """One ridge of standardised features for each group (a grid point's titles)."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[features].to_numpy(float)
-        mean, sd = x.mean(0), x.std(0)
-        sd[sd == 0] = 1
-        w = ridge(np.column_stack([np.ones(len(x)), (x - mean) / sd]), pdf[target].to_numpy(float), penalty)
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "n": len(x), "weights": (w[1:] / sd).tolist(), "bias": float(w[0] - (w[1:] * mean / sd).sum())}])
+    """One ridge of standardised features for each group (a grid point's titles). Sums of products make the normal equations, so no group's rows
+    meet in one place; a group's few sums are solved in one row."""
+    x = [F.col(f).cast("double") for f in features]
+    y, n = F.col(target).cast("double"), len(features)
+    good = reduce(lambda p, q: p & q, [c.isNotNull() for c in [*x, y]])
+    sums = rows.where(good).groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(y).alias("y"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(c * y) for c in x]).alias("sy"),
+        F.array(*[F.sum(x[i] * x[j]) for i in range(n) for j in range(n)]).alias("ss"),
+    )
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                mean, m = np.array(r.s) / r.n, r.y / r.n
+                c = np.array(r.ss).reshape(n, n) - r.n * np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(c), 0) / r.n)
+                sd[sd <= 1e-9 * np.maximum(1, np.abs(mean))] = 1
+                w = np.linalg.solve(c / np.outer(sd, sd) + (penalty + 1e-12) * np.eye(n), (np.array(r.sy) - r.n * mean * m) / sd) / sd
+                out.append({**{b: getattr(r, b) for b in by}, "n": r.n, "weights": w.tolist(), "bias": float(m - w @ mean)})
+            yield pd.DataFrame(out, columns=[*by, "n", "weights", "bias"])
 
     ship(rows.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*by).applyInPandas(one, ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, weights array<double>, bias double")
+    return sums.mapInPandas(solve, ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, weights array<double>, bias double")
 
 
 def predict(rows: DataFrame, models: DataFrame, features: list[str], by: list[str]) -> DataFrame:

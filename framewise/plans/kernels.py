@@ -84,8 +84,8 @@ def w22(spark, sf):
 
 
 def scenes(spark, sf) -> DataFrame:
-    li = t.table(spark, sf, "lineitem").where("l_orderkey % 13 = 0")
-    return li.select(F.col("l_suppkey").alias("title"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("long").alias("length"), F.col("l_extendedprice").cast("double").alias("si"), F.col("l_discount").cast("double").alias("ti"))
+    li = t.table(spark, sf, "lineitem")
+    return li.select(F.col("l_partkey").alias("title"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").cast("long").alias("length"), F.col("l_extendedprice").cast("double").alias("si"), F.col("l_discount").cast("double").alias("ti"))
 
 
 @query("t4_top_scenes")
@@ -111,11 +111,11 @@ def m5(spark, sf):
     return p.groupBy("title", "height", "rate").agg(F.min_by(F.struct("bitrate", "vmaf"), F.struct(d.alias("d"), "bitrate")).alias("m")).select("title", "height", "rate", "m.bitrate", "m.vmaf")
 
 
-@query("m12_level_correction", f"WITH {B}, o AS (SELECT title, avg(vmaf) FILTER (bitrate % 3 = 0) - avg(vmaf) FILTER (bitrate % 3 <> 0) AS off FROM pb GROUP BY 1) SELECT title, height, bitrate, round(vmaf + coalesce(off, 0), 6) AS vmaf FROM pb JOIN o USING (title)")
+@query("m12_level_correction", f"WITH {B}, o AS (SELECT title, avg(vmaf) FILTER (bitrate % 3 = 0) - avg(vmaf) FILTER (bitrate % 3 <> 0) AS off FROM pb GROUP BY 1) SELECT title, height, bitrate, round(vmaf + coalesce(off, 0) + 1e-9, 6) AS vmaf FROM pb JOIN o USING (title)")
 def m12(spark, sf):
     p, exact = t.probes(spark, sf), F.col("bitrate") % 3 == 0
     o = p.groupBy("title").agg((F.avg(F.when(exact, F.col("vmaf"))) - F.avg(F.when(~exact, F.col("vmaf")))).alias("off"))
-    return p.join(o, "title").select("title", "height", "bitrate", r6(F.col("vmaf") + F.coalesce("off", F.lit(0.0)), "vmaf"))
+    return p.join(o, "title").select("title", "height", "bitrate", r6(F.col("vmaf") + F.coalesce("off", F.lit(0.0)) + 1e-9, "vmaf"))
 
 
 @query("m16_shot_models", "SELECT l_orderkey, l_linenumber, round(40 + (30 - 40) / 8.0 * (greatest(c, turn) - 22) - 0.05 * (greatest(c, turn) - 22) * (greatest(c, turn) - 30), 6) AS vmaf FROM (SELECT *, l_quantity::DOUBLE AS c, 26 + (30 - 40) / 8.0 / (2 * 0.05) AS turn FROM lineitem)")

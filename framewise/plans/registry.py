@@ -24,7 +24,7 @@ P = "p AS (SELECT user_id AS video_id, event_id AS pos, epoch_us(ts) * 1000 AS p
 E = P + ", e AS (SELECT p.*, max(pts) OVER (PARTITION BY video_id) + 40000000 AS \"end\" FROM p)"
 S = P + ", s AS (SELECT *, value / 1e5 AS energy, value - 50 AS l, CASE WHEN event_type = 'error' THEN 50 - value ELSE value - 40 END AS r FROM p)"
 C = "c AS (SELECT l_suppkey % 20 AS video_id, l_returnflag || l_linestatus AS stratum, l_extendedprice / 1000 AS mean, CAST(l_quantity AS INT) AS frames, l_orderkey % 3 = 0 AS scored FROM lineitem), st AS (SELECT video_id, stratum, sum(frames) AS size, count(*) AS slots FROM c GROUP BY ALL)"
-B = "pr AS (SELECT l_partkey % 20 AS title, CASE l_linenumber % 3 WHEN 0 THEN 360 WHEN 1 THEN 720 ELSE 1080 END AS height, CAST(round(l_extendedprice) AS BIGINT) AS bitrate, l_quantity FROM lineitem WHERE l_orderkey % 97 = 0), pb AS (SELECT title, height, bitrate, max(round(100.0 * (1 - exp(-bitrate / (height * 40.0))) - l_quantity / 20, 4)) AS vmaf FROM pr GROUP BY ALL)"
+B = "pr AS (SELECT l_partkey AS title, CASE l_linenumber % 3 WHEN 0 THEN 360 WHEN 1 THEN 720 ELSE 1080 END AS height, CAST(round(l_extendedprice) AS BIGINT) AS bitrate, l_quantity FROM lineitem), pb AS (SELECT title, height, bitrate, max(round(100.0 * (1 - exp(-bitrate / (height * 40.0))) - l_quantity / 20, 4)) AS vmaf FROM pr GROUP BY ALL)"
 ISO = B + """, o AS (SELECT *, row_number() OVER (PARTITION BY title, height ORDER BY bitrate, vmaf) AS i FROM pb),
 jk AS (SELECT a.title, a.height, a.i AS j, b.i AS k, avg(m.vmaf) AS m FROM o a JOIN o b ON a.title = b.title AND a.height = b.height AND a.i <= b.i JOIN o m ON m.title = a.title AND m.height = a.height AND m.i BETWEEN a.i AND b.i GROUP BY ALL),
 cu AS (SELECT o.title, o.height, o.bitrate, o.vmaf, (SELECT max(lo) FROM (SELECT j, min(m) AS lo FROM jk WHERE jk.title = o.title AND jk.height = o.height AND j <= o.i AND k >= o.i GROUP BY j)) AS fitted FROM o)"""
@@ -233,11 +233,11 @@ def j7(spark, sf):
     return seq.overlap_join(shots(p).withColumn("id", F.col("shot").cast("long")), b, two)
 
 
-@query("j9_rank_conflicts", """WITH x AS (SELECT o_custkey % 50 AS video_id, o_orderkey AS rung, o_totalprice / 5000 AS vmaf, o_orderkey % 13 / 2.0 AS xpsnr FROM orders WHERE o_orderkey % 5 = 0)
+@query("j9_rank_conflicts", """WITH x AS (SELECT o_custkey AS video_id, o_orderkey AS rung, o_totalprice / 5000 AS vmaf, o_orderkey % 13 / 2.0 AS xpsnr FROM orders)
 SELECT a.video_id, a.rung AS better, b.rung AS worse FROM x a JOIN x b ON a.video_id = b.video_id AND a.rung <> b.rung AND a.vmaf - b.vmaf >= 2.0 AND b.xpsnr - a.xpsnr >= 0.5""")
 def j9(spark, sf):
-    o = t.table(spark, sf, "orders").where("o_orderkey % 5 = 0")
-    return findings.rank_conflicts(o.select((F.col("o_custkey") % 50).alias("video_id"), F.col("o_orderkey").alias("rung"), (F.col("o_totalprice") / 5000).alias("vmaf"), (F.col("o_orderkey") % 13 / 2.0).alias("xpsnr")))
+    o = t.table(spark, sf, "orders")
+    return findings.rank_conflicts(o.select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("rung"), (F.col("o_totalprice") / 5000).alias("vmaf"), (F.col("o_orderkey") % 13 / 2.0).alias("xpsnr")))
 
 
 @query("j13_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -383,10 +383,10 @@ sg AS (SELECT title, height, bitrate AS b0, fitted AS q0, coalesce(lead(bitrate)
 qa AS (SELECT gr.title, i, rate, height, q0 + CASE WHEN b0 = b1 THEN 0 ELSE (ln(rate) - ln(b0)) / (ln(b1) - ln(b0)) END * (q1 - q0) AS quality FROM gr JOIN sg ON gr.title = sg.title AND rate >= b0 AND (rate < b1 OR b0 = b1 AND rate = b0))"""
 
 
-@query("m3_envelope", f"WITH {ENV} SELECT title, CAST(i AS INT) AS i, round(rate, 3) AS rate, height, round(quality, 5) AS quality FROM qa WHERE i BETWEEN 1 AND 48 QUALIFY row_number() OVER (PARTITION BY title, i ORDER BY quality DESC, height DESC) = 1")
+@query("m3_envelope", f"WITH {ENV} SELECT title, CAST(i AS INT) AS i, round(rate, 3) AS rate, height, round(quality + 1e-9, 5) AS quality FROM qa WHERE i BETWEEN 1 AND 48 QUALIFY row_number() OVER (PARTITION BY title, i ORDER BY quality DESC, height DESC) = 1")
 def m3(spark, sf):
     e = ladder.envelope(ladder.curves(t.probes(spark, sf)), 50)
-    return e.where("i BETWEEN 1 AND 48").select("title", "i", r6("rate", "rate", 3), "height", r6("quality", "quality", 5))  # the ends depend on the last digit of exp(ln(x))
+    return e.where("i BETWEEN 1 AND 48").select("title", "i", r6("rate", "rate", 3), "height", r6(F.col("quality") + 1e-9, "quality", 5))  # the ends depend on the last digit of exp(ln(x))
 
 
 @query("m2_quality_at", f"WITH {ISO}, sg AS (SELECT title, height, bitrate AS b0, fitted AS q0, lead(bitrate) OVER w AS b1, lead(fitted) OVER w AS q1 FROM cu WINDOW w AS (PARTITION BY title, height ORDER BY bitrate)) SELECT title, height, CAST(r.rate AS DOUBLE) AS rate, round(q0 + (ln(r.rate) - ln(b0)) / (ln(b1) - ln(b0)) * (q1 - q0), 5) AS quality FROM sg, (VALUES (20000.5), (35000.5), (60000.5)) r(rate) WHERE r.rate >= b0 AND r.rate < b1")
@@ -397,7 +397,7 @@ def m2(spark, sf):
 
 
 def rungs(spark, sf) -> DataFrame:
-    return ladder.select_rungs(ladder.envelope(ladder.curves(t.probes(spark, sf)), 50))
+    return ladder.select_rungs(ladder.envelope(ladder.curves(t.probes(spark, sf)), 50), min_rate=1000.0)
 
 
 @query("m4_rungs")
@@ -427,7 +427,7 @@ def m20(spark, sf):
 
 def rows_of_model(spark, sf) -> DataFrame:
     li = t.table(spark, sf, "lineitem")
-    return li.select((F.col("l_linenumber") % 3).cast("int").alias("height"), F.ln("l_extendedprice").alias("y"), F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_orderkey", "l_linenumber").where("l_orderkey % 7 = 0")
+    return li.select((F.col("l_linenumber") % 3).cast("int").alias("height"), F.ln("l_extendedprice").alias("y"), F.col("l_quantity").alias("f1"), F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"), "l_orderkey", "l_linenumber")
 
 
 @query("m23_train_models")

@@ -46,9 +46,9 @@ def strata(c: DataFrame) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A title per 20 parts, its heights by ship month, bitrate by price, quality rising with it and wavering by quantity; one probe a bitrate."""
+    """A title per part, its heights by ship month, bitrate by price, quality rising with it and wavering by quantity; one probe a bitrate."""
     li = table(spark, sf_dir, "lineitem")
     height = F.element_at(F.array(*[F.lit(x) for x in (360, 720, 1080)]), (F.col("l_linenumber") % 3 + 1).cast("int"))
     q = F.lit(100.0) * (1 - F.exp(-F.col("bitrate") / (F.col("height") * 40.0))) - F.col("l_quantity") / 20
-    p = li.select((F.col("l_partkey") % 20).alias("title"), height.alias("height"), F.round(F.col("l_extendedprice")).cast("long").alias("bitrate"), "l_quantity", (F.col("l_orderkey") % 97).alias("pick"))
-    return p.where("pick = 0").withColumn("vmaf", F.round(q, 4)).groupBy("title", "height", "bitrate").agg(F.max("vmaf").alias("vmaf"))
+    p = li.select(F.col("l_partkey").alias("title"), height.alias("height"), F.round(F.col("l_extendedprice")).cast("long").alias("bitrate"), "l_quantity")
+    return p.withColumn("vmaf", F.round(q, 4)).groupBy("title", "height", "bitrate").agg(F.max("vmaf").alias("vmaf"))
