@@ -389,11 +389,11 @@ def m3(spark, sf):
     return e.where("i BETWEEN 1 AND 48").select("title", "i", r6("rate", "rate", 3), "height", r6(F.col("quality") + 1e-9, "quality", 5))  # the ends depend on the last digit of exp(ln(x))
 
 
-@query("m2_quality_at", f"WITH {ISO}, sg AS (SELECT title, height, bitrate AS b0, fitted AS q0, lead(bitrate) OVER w AS b1, lead(fitted) OVER w AS q1 FROM cu WINDOW w AS (PARTITION BY title, height ORDER BY bitrate)) SELECT title, height, CAST(r.rate AS DOUBLE) AS rate, round(q0 + (ln(r.rate) - ln(b0)) / (ln(b1) - ln(b0)) * (q1 - q0), 5) AS quality FROM sg, (VALUES (20000.5), (35000.5), (60000.5)) r(rate) WHERE r.rate >= b0 AND r.rate < b1")
+@query("m2_quality_at", f"WITH {ISO}, sg AS (SELECT title, height, bitrate AS b0, fitted AS q0, lead(bitrate) OVER w AS b1, lead(fitted) OVER w AS q1 FROM cu WINDOW w AS (PARTITION BY title, height ORDER BY bitrate)) SELECT title, height, CAST(r.rate AS DOUBLE) AS rate, round(q0 + (ln(r.rate) - ln(b0)) / (ln(b1) - ln(b0)) * (q1 - q0) + 1e-9, 5) AS quality FROM sg, (VALUES (20000.5), (35000.5), (60000.5)) r(rate) WHERE r.rate >= b0 AND r.rate < b1")
 def m2(spark, sf):
     c = ladder.curves(t.probes(spark, sf))
     rates = c.select("title").distinct().select("title", F.explode(F.array(*map(F.lit, (20000.5, 35000.5, 60000.5)))).alias("rate"))
-    return ladder.quality_at(c, rates).select("title", "height", "rate", r6("quality", "quality", 5))
+    return ladder.quality_at(c, rates).select("title", "height", "rate", r6(F.col("quality") + 1e-9, "quality", 5))
 
 
 def rungs(spark, sf) -> DataFrame:
