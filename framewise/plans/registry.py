@@ -503,4 +503,4 @@ def s4(spark, sf):
     return ingest.packets(p.select("video_id", "pos", line.alias("value")))
 
 
-from . import further, kernels, wider  # noqa: E402, F401  (register their queries)
+from . import further, kernels, planned, wider  # noqa: E402, F401  (register their queries)
