@@ -106,3 +106,25 @@ def title_bend(probes: DataFrame, least: int = 3) -> DataFrame:
         return F.when(F.col("crfs") < least, 0.0).otherwise(top / F.nullif(det, F.lit(0.0))).alias(f"{n}_bend")
 
     return g.select("title", "height", bend("rate"), bend("quality"))
+
+
+def merged_clips(segments: DataFrame) -> DataFrame:
+    """One row a clip of its consecutive segments (clip, segment, first, stop, decoded): from the first one's start to the last one's end."""
+    return segments.groupBy("clip").agg(F.min_by("first", "segment").alias("first"), F.max_by("stop", "segment").alias("stop"), F.sum("decoded").alias("decoded"))
+
+
+def merged_frames(frames: DataFrame) -> DataFrame:
+    """Frames (clip, segment, frame, score) with their place in the whole clip. Frames are ordered within their segment only; the segments' lengths, a row
+    each, are summed up along the clip."""
+    before = Window.partitionBy("clip").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    held = frames.groupBy("clip", "segment").agg(F.count("*").alias("n")).select("clip", "segment", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("held"))
+    own = F.row_number().over(Window.partitionBy("clip", "segment").orderBy("frame", "score")) - 1
+    return frames.withColumn("own", own).join(held, ["clip", "segment"]).select("clip", (F.col("held") + F.col("own")).alias("place"), "score")
+
+
+def measurement(encodes: DataFrame, means: DataFrame) -> DataFrame:
+    """encodes (encode and its own columns) with the means (encode, kind metric or device, name, mean) of each kind as a map; null where none was measured."""
+    entry = F.struct("name", "mean")
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, entry))
+    m = means.groupBy("encode").agg(*[F.when(F.size(of(k)) > 0, F.map_from_entries(of(k))).alias(f"{k}s") for k in ("metric", "device")])
+    return encodes.join(m, "encode", "left")

@@ -87,3 +87,28 @@ SELECT title, height, CASE WHEN n < 3 THEN 0.0::DOUBLE ELSE round((n * (s2 * r2
 def m17(spark, sf):
     one = probes(spark, sf).groupBy("title", "height", "crf").agg(F.max("rate").alias("rate"), F.max("quality").alias("quality")).withColumns({"low": F.lit(24.0), "high": F.lit(30.0)})
     return planning.title_bend(one).select("title", "height", *[r6(F.col(c) + F.when(F.col(c) != 0, 1e-9).otherwise(0.0), c, 5) for c in ("rate_bend", "quality_bend")])
+
+
+@query("u3_merged_clips", "SELECT l_orderkey AS clip, min((l_linenumber - 1) * 50) AS first, max(l_linenumber * 50) AS stop, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS decoded FROM lineitem GROUP BY 1")
+def u3_clips(spark, sf):
+    i = F.col("l_linenumber")
+    return planning.merged_clips(t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), i.alias("segment"), ((i - 1) * 50).alias("first"), (i * 50).alias("stop"), F.col("l_quantity").cast("int").alias("decoded")))
+
+
+@query("u3_merged_frames", "SELECT l_orderkey AS clip, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, k, l_quantity + k) - 1 AS place, CAST(l_quantity + k AS DOUBLE) AS score FROM lineitem, range(0, 3) r(k)")
+def u3_frames(spark, sf):
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("frame")
+    f = t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("clip"), F.col("l_linenumber").alias("segment"), "l_quantity", k)
+    return planning.merged_frames(f.select("clip", "segment", "frame", (F.col("l_quantity") + F.col("frame")).cast("double").alias("score")))
+
+
+MEANS = "SELECT l_orderkey AS encode, CASE l_linenumber % 3 WHEN 0 THEN 'metric' WHEN 1 THEN 'device' ELSE 'other' END AS kind, l_returnflag AS name, CAST(l_linenumber AS BIGINT) AS n FROM lineitem"
+
+
+@query("x5_measurements", f"""WITH m AS (SELECT encode, kind, name, max(n) AS mean FROM ({MEANS}) GROUP BY ALL), g AS (SELECT encode, string_agg(name || '=' || mean, ',' ORDER BY name) FILTER (kind = 'metric') AS metrics, string_agg(name || '=' || mean, ',' ORDER BY name) FILTER (kind = 'device') AS devices FROM m GROUP BY 1)
+SELECT o_orderkey AS encode, o_totalprice AS quality, metrics, devices FROM orders LEFT JOIN g ON encode = o_orderkey""")
+def x5(spark, sf):
+    m = rows(spark, sf, MEANS).groupBy("encode", "kind", "name").agg(F.max("n").alias("mean"))
+    e = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("encode"), F.col("o_totalprice").alias("quality"))
+    flat = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))), ",")).alias(c)
+    return planning.measurement(e, m).select("encode", "quality", flat("metrics"), flat("devices"))

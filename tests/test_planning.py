@@ -55,3 +55,17 @@ def _lit(x):
     from pyspark.sql import functions as F
 
     return F.lit(x)
+
+
+def test_segments_of_a_clip_are_one(spark):
+    seg = spark.createDataFrame([(1, 1, 10, 20, 12), (1, 0, 0, 10, 14), (2, 0, 5, 6, 1)], "clip int, segment int, first int, stop int, decoded int")
+    assert sorted(map(tuple, planning.merged_clips(seg).collect())) == [(1, 0, 20, 26), (2, 5, 6, 1)]
+    frames = spark.createDataFrame([(1, 1, 0, 3.0), (1, 0, 1, 2.0), (1, 0, 0, 1.0), (1, 1, 1, 4.0)], "clip int, segment int, frame int, score double")
+    assert sorted(map(tuple, planning.merged_frames(frames).collect())) == [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0), (1, 3, 4.0)]
+
+
+def test_measurement_keeps_encodes_without_means(spark):
+    e = spark.createDataFrame([(1, 90.0), (2, 80.0)], "encode int, quality double")
+    m = spark.createDataFrame([(1, "metric", "ssim", 0.9), (1, "metric", "cambi", 2.0)], "encode int, kind string, name string, mean double")
+    got = {r.encode: (r.quality, r.metrics, r.devices) for r in planning.measurement(e, m).collect()}
+    assert got == {1: (90.0, {"ssim": 0.9, "cambi": 2.0}, None), 2: (80.0, None, None)}
