@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +11,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .groups import whole_groups
+
+
+def pooled(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Monotone fit of each run of v that begins at ``starts``."""
+    out: list[float] = []
+    for a, z in zip(starts, [*starts[1:], len(v)]):
+        begin: list[int] = []
+        total: list[float] = []
+        ends: list[int] = []
+        for i in range(a, z):
+            j, t = i, v[i]
+            while begin and total[-1] * (i + 1 - j) >= t * (ends[-1] - begin[-1]):
+                j, t = begin.pop(), t + total.pop()
+                ends.pop()
+            begin.append(j)
+            total.append(t)
+            ends.append(i + 1)
+        for j, t, e in zip(begin, total, ends):
+            out += [t / (e - j)] * (e - j)
+    return np.array(out, float)
 
 
 def isotonic(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -18,36 +39,9 @@ def isotonic(points: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     stream through, many in a batch; linear in the points, and only one group's points are held."""
     p = points.select(*by, x, F.col(y).cast("double").alias(y))
 
-    def pooled(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        v, out = pdf[y].to_numpy(float), []
-        for a, z in zip(starts, [*starts[1:], len(v)]):
-            begin: list[int] = []
-            total: list[float] = []
-            ends: list[int] = []
-            for i in range(a, z):
-                j, t = i, v[i]
-                while begin and total[-1] * (i + 1 - j) >= t * (ends[-1] - begin[-1]):
-                    j, t = begin.pop(), t + total.pop()
-                    ends.pop()
-                begin.append(j)
-                total.append(t)
-                ends.append(i + 1)
-            for j, t, e in zip(begin, total, ends):
-                out += [t / (e - j)] * (e - j)
-        return pdf.assign(fitted=np.array(out, float))
-
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            if held is not None:
-                b = pd.concat([held, b], ignore_index=True)
-            if len(b):
-                starts = np.flatnonzero((b[by] != b[by].shift()).any(axis=1).to_numpy())
-                held = b.iloc[starts[-1] :]
-                if starts[-1]:
-                    yield pooled(b.iloc[: starts[-1]], starts[:-1])
-        if held is not None:
-            yield pooled(held, np.zeros(1, int))
+        for pdf, starts in whole_groups(batches, by):
+            yield pdf.assign(fitted=pooled(pdf[y].to_numpy(float), starts))
 
     ship(points.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields)
@@ -89,51 +83,146 @@ def envelope(curve: DataFrame, points: int = 200) -> DataFrame:
 RUNGS = "title long, rung int, rate double, height int, quality double"
 
 
-def select_rungs(hull: DataFrame, step: float = 6.0, least: float = 1.5, most: float = 2.5, target: float = 95.0, min_rate: float = 145_000.0, min_quality: float = 0.0, rungs: int = 8, max_rate: float = 0.0) -> DataFrame:
-    """From the cheapest point of the hull that reaches the target (its best point if none does), each next rung takes the least rate whose
-    quality is ``step`` lower, read on the hull's line over ln(rate) and kept within the ratios; its height and quality are those of the hull's nearest
-    point, with no greater height than the rung above. Sequential by nature, on a hull of a few hundred points a title."""
+def picked(rate: np.ndarray, quality: np.ndarray, height: np.ndarray, n: np.ndarray, step: float = 6.0, least: float = 1.5, most: float = 2.5, target: float = 95.0, min_rate: float = 145_000.0, min_quality: float = 0.0, rungs: int = 8, max_rate: float = 0.0) -> list[tuple[np.ndarray, ...]]:
+    """``select_rungs`` on many hulls at once, a row each: n points in order of rate, then rates of infinity and qualities of nan. For each rung in turn:
+    whether each title has it, its rate, height and quality."""
+    rows, log = np.arange(len(rate)), np.log(rate)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf.sort_values("rate")
-        rate, quality, height = h["rate"].to_numpy(float), h["quality"].to_numpy(float), h["height"].to_numpy()
-        log = np.log(rate)
-        out: list[tuple[int, int, float, int, float]] = []
-
-        def near(r: float) -> int | None:
-            return int(np.abs(log - np.log(r)).argmin()) if r >= 0.999 * rate[0] else None
-
-        def reaching(q: float) -> float:
-            i = int(np.argmax(quality >= q)) if (quality >= q).any() else len(rate) - 1
-            if i == 0 or quality[i] < q:
-                return float(rate[i])
-            return float(np.exp(np.interp(q, quality[i - 1 : i + 1], log[i - 1 : i + 1])))
-
-        at: int | None = int(np.argmax(quality >= target)) if (quality >= target).any() else len(rate) - 1
-        r = float(rate[at])
-        if max_rate and r > max_rate:
-            at, r = near(max_rate), max_rate
-        top = int(height.max())
-        while at is not None and len(out) < rungs:
-            top = min(top, int(height[at]))
-            out.append((int(h["title"].iloc[0]), len(out), r, top, float(quality[at])))
-            r = float(np.rint(min(max(reaching(quality[at] - step), r / most), r / least)))
-            at = near(r) if r >= min_rate else None
-            if at is not None and quality[at] < min_quality:
-                at = None
-        return pd.DataFrame(out, columns=["title", "rung", "rate", "height", "quality"])
+    def near(r: np.ndarray) -> np.ndarray:
+        return np.where(r >= 0.999 * rate[:, 0], np.abs(log - np.log(r)[:, None]).argmin(1), -1)
+
+    def first(q: np.ndarray) -> np.ndarray:
+        reached = quality >= q[:, None]
+        return np.where(reached.any(1), reached.argmax(1), n - 1)
+
+    def reaching(q: np.ndarray) -> np.ndarray:
+        i = first(q)
+        a, z = (rows, np.maximum(i - 1, 0)), (rows, i)
+        line = (log[z] - log[a]) / (quality[z] - quality[a]) * (q - quality[a]) + log[a]
+        return np.where((i <= 0) | (quality[z] < q), rate[z], np.exp(np.where(q == quality[z], log[z], line)))
+
+    out = []
+    with np.errstate(all="ignore"):
+        at = first(np.full(len(rate), target))
+        r = rate[rows, at]
+        if max_rate:
+            at, r = np.where(r > max_rate, near(np.full(len(rate), max_rate)), at), np.minimum(r, max_rate)
+        at, top = np.where(n > 0, at, -1), height.max(1)
+        while (at >= 0).any() and len(out) < rungs:
+            has, q = at >= 0, quality[rows, at]
+            top = np.where(has, np.minimum(top, height[rows, at]), top)
+            out.append((has, r, top, q))
+            r = np.rint(np.minimum(np.maximum(reaching(q - step), r / most), r / least))
+            at = np.where(has & (r >= min_rate), near(r), -1)
+            at = np.where(quality[rows, at] < min_quality, -1, at)
+    return out
 
-    ship(hull.sparkSession)
-    return hull.groupBy("title").applyInPandas(one, RUNGS)
 
+def padded(keep: np.ndarray, *values: tuple[np.ndarray, float]) -> list[np.ndarray]:
+    """Each row's kept values first, then the given filling."""
+    order, n = np.argsort(~keep, axis=1, kind="stable"), keep.sum(1)
+    past = np.arange(keep.shape[1]) >= n[:, None]
+    return [np.where(past, fill, np.take_along_axis(v, order, 1)) for v, fill in values]
 
-def lower_for_energy(rungs: DataFrame, curve: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """The lowest height whose quality at the rung's rate lies within the tolerance of the rung's, and no more than the one above has."""
-    q = quality_at(curve, rungs.select("title", "rate").distinct()).withColumnsRenamed({"height": "h", "quality": "q"})
-    j = rungs.join(q, ["title", "rate"], "left").where(F.col("h").isNull() | ((F.col("h") <= F.col("height")) & (F.col("q") >= F.col("quality") - tolerance)))
-    low = j.groupBy("title", "rung", "rate", "height", "quality").agg(F.min("h").alias("low"))
-    w = Window.partitionBy("title").orderBy("rung").rowsBetween(Window.unboundedPreceding, 0)
-    return low.select("title", "rung", "rate", "height", F.min(F.coalesce("low", "height")).over(w).alias("lowered"))
+
+def framed(titles: np.ndarray, rungs: list[tuple[np.ndarray, ...]], names: list[str]) -> pd.DataFrame:
+    parts = [pd.DataFrame({"title": titles[has], "rung": i} | dict(zip(names, (v[has] for v in rest)))) for i, (has, *rest) in enumerate(rungs)]
+    every = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["title", "rung", *names])
+    return every.astype({"rung": "int32"} | {k: "int32" for k in ("height", "lowered") if k in names})
+
+
+def select_rungs(hull: DataFrame, **limits: float) -> DataFrame:
+    """From the cheapest point of the hull that reaches the target (its best point if none does), each next rung takes the least rate whose
+    quality is ``step`` lower, read on the hull's line over ln(rate) and kept within the ratios; its height and quality are those of the hull's nearest
+    point, with no greater height than the rung above. Sequential by nature, on a hull of a few hundred points a title. limits: those of ``picked``."""
+    by = ["title"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, by):
+            sizes = np.diff([*starts, len(pdf)])
+            at = np.minimum(starts[:, None] + np.arange(sizes.max()), len(pdf) - 1)
+            keep = np.arange(sizes.max()) < sizes[:, None]
+            rate, quality, height = (pdf[c].to_numpy(float)[at] for c in ("rate", "quality", "height"))
+            hulls = padded(keep, (rate, np.inf), (quality, np.nan), (height, 0.0))
+            yield framed(pdf["title"].to_numpy()[starts], picked(*hulls, sizes, **limits), ["rate", "height", "quality"])
+
+    ship(hull.sparkSession)
+    return hull.select("title", "rate", "quality", "height").repartition(*by).sortWithinPartitions("title", "rate").mapInPandas(run, RUNGS)
+
+
+def read_at(curve: np.ndarray, rate: np.ndarray, log: np.ndarray, fitted: np.ndarray, of: np.ndarray, r: np.ndarray, log_r: np.ndarray) -> np.ndarray:
+    """``quality_at`` of rates r on curves ``of``, both of any shape; -inf beyond a curve's ends. Points lie in order of curve (a number) and rate."""
+    key, asked = np.empty(len(rate), complex), np.empty(r.shape, complex)
+    key.real, key.imag, asked.real, asked.imag = curve, rate, of, r
+    k = np.searchsorted(key, asked, "right") - 1  # complex numbers are in order of both their parts
+    held = (k >= 0) & (curve[k] == of)
+    after = np.minimum(k + 1, len(rate) - 1)
+    last = (after == k) | (curve[after] != curve[k])
+    after = np.where(last, k, after)
+    with np.errstate(all="ignore"):
+        gap = log[after] - log[k]
+        t = np.where(gap == 0, 0.0, (log_r - log[k]) / gap)
+        q = fitted[k] + t * (fitted[after] - fitted[k])
+    return np.where(held & (~last | (r == rate[k])) & ~np.isnan(q), q, -np.inf)
+
+
+def lowered(rungs: list[tuple[np.ndarray, ...]], heights: np.ndarray, quality: Callable[[np.ndarray], np.ndarray], tolerance: float) -> list[np.ndarray]:
+    """The height of each rung in turn: the lowest whose quality at the rung's rate lies within the tolerance of the rung's, among those no greater than the
+    rung's and the one above's; if none does, the best of these; if none is known there, the rung's own, or the one above's if that is less.
+    heights: a row a title, nan past its curves; quality(rates): -inf where unknown."""
+    out, above = [], np.full(len(heights), np.inf)
+    for has, rate, height, wanted in rungs:
+        most = np.minimum(height, above)
+        q = np.where(heights <= most[:, None], quality(rate), -np.inf)
+        known, fits = q > -np.inf, (q >= wanted[:, None] - tolerance) & (q > -np.inf)
+        best = np.where(known & (q == q.max(1)[:, None]), heights, -np.inf).max(1)
+        h = np.where(fits.any(1), np.where(fits, heights, np.inf).min(1), np.where(known.any(1), best, most))
+        above = np.where(has, h, above)
+        out.append(h)
+    return out
+
+
+def ladders(probes: DataFrame, points: int = 200, tolerance: float = 1.0, **limits: float) -> DataFrame:
+    """Probes to rungs, with the height to which each is lowered for energy: ``select_rungs`` of the ``envelope`` of ``curves``, and ``lowered``, in one pass
+    over titles that lie sorted in their partitions. No grid is joined or shuffled: its rates come with a title's first probe."""
+    p = probes.where("bitrate > 0").select("title", "height", "bitrate", F.col("vmaf").cast("double").alias("vmaf"), F.ln("bitrate").alias("ln_rate")).repartition("title")
+    w = Window.partitionBy("title")
+    p = p.withColumn("first", F.row_number().over(w.orderBy("height", "bitrate", "vmaf")) == 1).withColumns({"lo": F.min("ln_rate").over(w), "hi": F.max("ln_rate").over(w)})
+    rates = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)))
+    p = p.select("title", "height", "bitrate", "vmaf", "ln_rate", F.when(F.col("first"), rates).alias("rates"))
+    p = p.withColumn("logs", F.transform("rates", F.ln)).sortWithinPartitions("title", "height", "bitrate", "vmaf")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, ["title"]):
+            rate, log, height = (pdf[c].to_numpy(float) for c in ("bitrate", "ln_rate", "height"))
+            begins = np.union1d(starts, 1 + np.flatnonzero(np.diff(height)))
+            fitted = pooled(pdf["vmaf"].to_numpy(float), begins)
+            curve = np.repeat(np.arange(len(begins)), np.diff([*begins, len(pdf)]))
+            own = np.searchsorted(begins, starts)  # a title's first curve
+            of = np.repeat(np.arange(len(starts)), np.diff([*own, len(begins)]))
+            grid, logs = (np.stack(pdf[c].to_numpy()[starts]) for c in ("rates", "logs"))
+            h = height[begins]
+
+            q = read_at(curve, rate, log, fitted, np.broadcast_to(np.arange(len(begins))[:, None], (len(begins), points)), grid[of], logs[of])
+            quality = np.maximum.reduceat(q, own)
+            best = np.maximum.reduceat(np.where(q == quality[of], h[:, None], -np.inf), own)
+            known = quality > -np.inf
+            rungs = picked(*padded(known, (grid, np.inf), (quality, np.nan), (best, 0.0)), known.sum(1), **limits)
+
+            sizes = np.diff([*own, len(begins)])
+            each = own[:, None] + np.arange(sizes.max())
+            past = np.arange(sizes.max()) >= sizes[:, None]
+            each = np.where(past, own[:, None], each)
+
+            def at(r: np.ndarray) -> np.ndarray:
+                r = np.broadcast_to(r[:, None], each.shape)
+                return read_at(curve, rate, log, fitted, each, r, np.log(r))
+
+            low = lowered(rungs, np.where(past, np.nan, h[each]), at, tolerance)
+            yield framed(pdf["title"].to_numpy()[starts], [(*r, x) for r, x in zip(rungs, low)], ["rate", "height", "quality", "lowered"])
+
+    ship(probes.sparkSession)
+    return p.mapInPandas(run, RUNGS + ", lowered int")
 
 
 def rate_gap(a: DataFrame, b: DataFrame, step: float = 0.5) -> DataFrame:

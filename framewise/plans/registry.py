@@ -396,18 +396,14 @@ def m2(spark, sf):
     return ladder.quality_at(c, rates).select("title", "height", "rate", r6(F.col("quality") + 1e-9, "quality", 5))
 
 
-def rungs(spark, sf) -> DataFrame:
-    return ladder.select_rungs(ladder.envelope(ladder.curves(t.probes(spark, sf)), 50), min_rate=1000.0)
-
-
 @query("m4_rungs")
 def m4(spark, sf):
-    return rungs(spark, sf)
+    return ladder.ladders(t.probes(spark, sf), 50, min_rate=1000.0).drop("lowered")
 
 
 @query("m7_energy")
 def m7(spark, sf):
-    return ladder.lower_for_energy(rungs(spark, sf), ladder.curves(t.probes(spark, sf)))
+    return ladder.ladders(t.probes(spark, sf), 50, min_rate=1000.0).select("title", "rung", "rate", "height", "lowered")
 
 
 def menu(spark, sf) -> DataFrame:
