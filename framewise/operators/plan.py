@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -9,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from .groups import whole_groups
+
 
 def gop_strata(keys: list[int], n: int, target: int, clip: int) -> list[int]:
     """First frames of strata of whole GOPs, ``target`` frames or more each; a GOP of twice that is cut evenly, and a stratum too short for two clips
@@ -92,18 +96,36 @@ def balanced_digest(pieces: DataFrame, features: list[str], slots: int, sweeps:
     return pieces.groupBy("title").applyInPandas(run, "title long, slot int, id long")
 
 
+def smoothed(x: np.ndarray, y: np.ndarray, starts: np.ndarray, curvature: float) -> tuple[np.ndarray, np.ndarray]:
+    """``smooth_curve`` of each run of x and y that begins at ``starts``, all in one go: fitted values and standard errors."""
+    n = np.diff([*starts, len(x)])
+    of = np.repeat(np.arange(len(starts)), n)
+    total = lambda v: np.add.reduceat(v, starts, axis=0)
+    z = x - x[starts][of]  # equal rates have no spread, to the last digit
+    z = z - (total(z) / n)[of]
+    sd = np.sqrt(total(z * z) / n)
+    v = [(z / np.where(sd == 0, 1.0, sd)[of]) ** k for k in range(4)]
+    cells = [(j, k) for j in range(4) for k in range(4)]
+    squares = np.stack([total(v[j] * v[k]) for j, k in cells], 1).reshape(-1, 4, 4)
+    inverse = np.linalg.inv(squares + np.diag([1e-9, 1e-9, curvature, curvature]))
+    weights = np.einsum("gjk,gk->gj", inverse, np.stack([total(c * y) for c in v], 1))
+    fit = sum(weights[of, j] * v[j] for j in range(4))
+    noise = total((y - fit) ** 2) / np.maximum(1, n - 2)
+    return fit, np.sqrt(noise[of] * sum(inverse[of, j, k] * v[j] * v[k] for j, k in cells))
+
+
 def smooth_curve(probes: DataFrame, curvature: float = 1.0) -> DataFrame:
     """probes (title, height, bitrate, vmaf): a cubic of vmaf in standardised ln(bitrate) for each curve, with a Gaussian prior that keeps its
-    second and third coefficients near 0; fitted and standard error at each probe."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        z = np.log(g["bitrate"].to_numpy(float))
-        z = (z - z.mean()) / (z.std() or 1.0)
-        x, y = np.vander(z, 4, increasing=True), g["vmaf"].to_numpy(float)
-        prior = np.diag([1e-9, 1e-9, curvature, curvature])
-        inverse = np.linalg.inv(x.T @ x + prior)
-        fit = x @ (inverse @ (x.T @ y))
-        noise = ((y - fit) ** 2).sum() / max(1, len(y) - 2)
-        return g[["title", "height", "bitrate"]].assign(fitted=fit, error=np.sqrt(noise * np.einsum("ij,jk,ik->i", x, inverse, x)))
-
-    return probes.groupBy("title", "height").applyInPandas(run, "title long, height int, bitrate long, fitted double, error double")
+    second and third coefficients near 0; fitted and standard error at each probe. Curves lie sorted in their partitions and stream through, many
+    in a batch."""
+    by = ["title", "height"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in whole_groups(batches, by):
+            with np.errstate(all="ignore"):
+                fit, error = smoothed(np.log(pdf["bitrate"].to_numpy(float)), pdf["vmaf"].to_numpy(float), starts, curvature)
+            yield pdf[[*by, "bitrate"]].assign(fitted=fit, error=error)
+
+    ship(probes.sparkSession)
+    p = probes.select(*by, "bitrate", F.col("vmaf").cast("double").alias("vmaf"))
+    return p.repartition(*by).sortWithinPartitions(*by, "bitrate", "vmaf").mapInPandas(run, "title long, height int, bitrate long, fitted double, error double")

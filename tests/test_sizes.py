@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from framewise.operators import ladder
+from framewise.operators import ladder, plan
 from framewise.operators.groups import whole_groups
 from framewise.plans import registry
 
@@ -49,3 +49,28 @@ def test_lowered_heights():
     assert low([rung(2e6, 85.0), rung(1e6, 80.0)], 3.0) == [540, 540]
     assert low([rung(2e6, 95.0)], 1.0) == [1080]  # none within the tolerance: the best
     assert low([rung(2e6, 85.0, 360.0)], 1.0) == [360]  # no curve so low: its own
+
+
+def test_smooth_curves_in_batches(spark):
+    """Against the curve-by-curve form, which took a call of Python for each curve."""
+    r = np.random.default_rng(1)
+    rows = [(t, h, int(b), float(q)) for t in range(40) for h in (360, 720) for b, q in zip(r.choice(90_000, t % 7 + 1, False) + 1000, r.normal(60, 9, t % 7 + 1))]
+    d = spark.createDataFrame([*rows, (None, 360, 5000, 50.0), (None, 360, 7000, 61.0), (99, 360, 5000, None), (99, 360, 6000, 70.0)], "title long, height int, bitrate long, vmaf double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        fit = plan.smooth_curve(d)
+        assert "FlatMapGroupsInPandas" not in fit._jdf.queryExecution().toString()
+        got = fit.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) + 4 and got[got.title == 99].fitted.isna().all() and got.fitted.isna().sum() == 2
+    m = got.merge(d.toPandas(), on=["title", "height", "bitrate"])
+    assert len(m) == len(got)
+    for _, g in m[m.title != 99].groupby(["title", "height"], dropna=False):
+        z = np.log(g.bitrate.to_numpy(float))
+        z = (z - z.mean()) / (z.std() or 1.0)
+        x, y = np.vander(z, 4, increasing=True), g.vmaf.to_numpy(float)
+        inverse = np.linalg.inv(x.T @ x + np.diag([1e-9, 1e-9, 1.0, 1.0]))
+        want = x @ inverse @ x.T @ y
+        noise = ((y - want) ** 2).sum() / max(1, len(y) - 2)
+        assert np.allclose(g.fitted, want, atol=1e-8) and np.allclose(g.error, np.sqrt(noise * np.einsum("ij,jk,ik->i", x, inverse, x)), atol=1e-6)
