@@ -2,11 +2,12 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
-from framewise.operators import ladder, plan
+from framewise.operators import ladder, plan, shares
 from framewise.operators.groups import whole_groups
 from framewise.plans import registry
 
@@ -74,3 +75,12 @@ def test_smooth_curves_in_batches(spark):
         want = x @ inverse @ x.T @ y
         noise = ((y - want) ** 2).sum() / max(1, len(y) - 2)
         assert np.allclose(g.fitted, want, atol=1e-8) and np.allclose(g.error, np.sqrt(noise * np.einsum("ij,jk,ik->i", x, inverse, x)), atol=1e-6)
+
+
+def test_class_shares_round_as_the_sql(spark):
+    """The SQL's share of each odd number of frames of 640 and 3200, whose seventh digit is a half."""
+    rows = [r for n in (640, 3200) for k in range(1, n // 2, 2) for r in ((n * 10_000 + k, "pan", k, 0), (n * 10_000 + k, "shaky", n - k, 1))]
+    want = duckdb.connect().execute("SELECT n, k, round(k::HUGEINT / n::HUGEINT, 6) FROM (VALUES (640), (3200)) t(n), range(1, n // 2, 2) r(k)").fetchall()
+    got = {(r.video_id // 10_000, r.frames): r.share for r in shares.class_shares(spark.createDataFrame(rows, "video_id long, class string, frames long, start long")).where("class = 'pan'").collect()}
+    assert got == {(n, k): share for n, k, share in want}
+    assert got[640, 41] == 0.064062
